@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .oracle import ORACLE_SQL
+from .queries import QUERIES, flagship
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
