@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -13,13 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import blocks, powers, stored
+from .common import blocks, mix, powers, runs, span_hashes, stored
 
 #: Bytes of the rolling window; a chunk ends on average after 2**CHUNK_BITS bytes and never before MIN_CHUNK.
 WINDOW, CHUNK_BITS, MIN_CHUNK = 32, 9, 64
-#: Bytes of chunk text that the dictionary of shared chunks holds at most (it is broadcast), and words that a task remembers.
-DICTIONARY_BYTES, MEMO_WORDS = 8 << 20, 200_000
+#: Bytes of chunk text that the dictionary of shared chunks holds at most (it is broadcast), and pieces of words that a task remembers twice over.
+DICTIONARY_BYTES, MEMO_PIECES = 8 << 20, 150_000
+#: Bytes of text that are encoded at a time.
+BLOCK_BYTES = 1 << 20
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: Classes of bytes: white space, letters, digits, other signs, and those whose words go to the tokenizer whole
+#: (controls, apostrophes for their contractions, and bytes beyond ASCII but for Latin-1's letters).
+_WHITE, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
+_CLASS = np.full(256, _WHOLE, np.uint8)
+_CLASS[0x21:0x7F], _CLASS[0x30:0x3A], _CLASS[0x41:0x5B], _CLASS[0x61:0x7B], _CLASS[0x27] = _SIGN, _DIGIT, _LETTER, _LETTER, _WHOLE
+_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _WHITE
+_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -68,7 +78,7 @@ def chunk_key(chunk: bytes) -> bytes:
 
 
 class Codec:
-    """The tokenizer at path, with a bounded memory of words.
+    """The tokenizer at path, with a bounded memory of pieces of words.
 
     White space in ASCII ends a pre-token of this tokenizer, is dropped by it, composes with nothing under
     NFC and stands in no special token. So the encoding of a text is that of its words between such white
@@ -77,32 +87,92 @@ class Codec:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.memo: dict[bytes, tuple[list[int], str]] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the words that are not remembered, in one batch."""
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list(words)
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, e in zip(new, found, strict=True):
-            self.memo[w] = e.ids, " ".join([self.names[i] for i in e.ids])
-
-    def encode(self, text: bytes) -> tuple[list[int], str]:
-        """Ids and decoded text of a text all of whose words are remembered."""
-        ids: list[int] = []
-        named = []
-        for w in text.split():
-            own, name = self.memo[w]
-            if own:
-                ids += own
-                named.append(name)
-        return ids, " ".join(named)
+        self.ends = np.array([n.endswith("</w>") for n in self.names])
+        # piece: its ids as int32 bytes, and their decoded text with a space after it. Pieces that go to the
+        # tokenizer whole are under (piece,). What was not used for MEMO_PIECES others is forgotten.
+        self.memo: dict = {}
+        self.older: dict = {}
+
+    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return array("i", ids).tobytes(), "".join([self.names[i] + " " for i in ids]).encode()
+
+    def entries(self, pieces: list) -> list[tuple[bytes, bytes]]:
+        """Of each piece its ids and decoded text; those not remembered are encoded, a batch at a time."""
+        if len(self.memo) > MEMO_PIECES:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        new = []
+        for p in pieces:
+            if p not in memo:
+                if (found := older.get(p)) is not None:
+                    memo[p] = found
+                else:
+                    new.append(p)
+        for at in range(0, len(new), 8192):
+            part = new[at : at + 8192]
+            whole = [p for p in part if isinstance(p, tuple)]
+            plain = [p for p in part if not isinstance(p, tuple)]
+            for p, e in zip(whole, self.tokenizer.encode_batch_fast([p[0].decode("utf-8", "replace") for p in whole], add_special_tokens=False), strict=True):
+                memo[p] = self._entry(e.ids)
+            # Plain pieces are one text, told apart by the tokens that end a pre-token; each alone if these don't tell.
+            texts = [p.decode() for p in plain]
+            ids = self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids if texts else []
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist() if ids else []
+            if len(ends) == len(plain):
+                lists = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            for p, own in zip(plain, lists, strict=True):
+                memo[p] = self._entry(own)
+        return [memo[p] for p in pieces]
+
+
+_codecs: dict[str, Codec] = {}
+
+
+def codec_at(path: str) -> Codec:
+    """The worker's codec; its memory of pieces outlives a task where Spark reuses the worker."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
+
+
+def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of a block's words: its bytes (lower-cased), starts, ends, and whether a piece is a whole word.
+
+    Words of ASCII and of Latin-1's letters, which NFC leaves as they are and whose lower case is one letter,
+    are cut into the pre-tokens that the tokenizer cuts them into: runs of letters, single digits, runs of
+    other signs. A word with anything else stays whole and as it is.
+    """
+    kind = _CLASS[data]
+    follow = np.append(data[1:], np.uint8(0))
+    low = data.copy()
+    low[(data >= 0x41) & (data <= 0x5A)] += 32
+    # À to ÿ without × and ÷ are two bytes, the first 0xC3; upper case is 0x20 below lower case.
+    pair = np.flatnonzero((data == 0xC3) & (follow >= 0x80) & (follow <= 0xBF) & (follow != 0x97) & (follow != 0xB7))
+    kind[pair] = kind[pair + 1] = _LETTER
+    upper = pair[follow[pair] <= 0x9E] + 1
+    low[upper] += 0x20
+    kind[(data == 0x3C) & (follow == 0x7C)] = _WHOLE  # a special token may begin here
+    starts, ends = runs(kind != _WHITE, offsets)
+    before = np.concatenate([[0], np.cumsum(kind == _WHOLE)])
+    whole = before[ends] > before[starts]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts[whole]] = 1
+    inside[ends[whole]] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    first = np.zeros(len(data), bool)
+    first[starts] = True
+    change = np.append(True, kind[1:] != kind[:-1])
+    head = np.flatnonzero((kind != _WHITE) & (first | ((change | (kind == _DIGIT)) & ~inside)))
+    word = np.searchsorted(starts, head, "right") - 1
+    tail = np.minimum(np.append(head[1:], len(data)), ends[word])
+    return np.where(inside, data, low), head, tail, whole[word]
 
 
 def sides(chunk: bytes) -> tuple[int, int] | None:
@@ -113,50 +183,70 @@ def sides(chunk: bytes) -> tuple[int, int] | None:
     return first.start(), len(chunk) - len(chunk.rsplit(None, 1)[-1]) if not chunk[-1:].isspace() else len(chunk)
 
 
-def encode_chunks(chunks: list[bytes], codec: Codec, known: dict[bytes, tuple[int, int, array, str]]) -> tuple[list[int], str]:
-    """Ids and decoded text of the chunks' concatenation.
+def known_middles(data: np.ndarray, offsets: np.ndarray, known: dict) -> list[tuple[int, int, bytes, bytes]]:
+    """Where a block's known chunks have their middles: start, end, ids and decoded text of each, in order."""
+    out = []
+    if known:
+        raw, cuts = data.tobytes(), cut_points(data, offsets).tolist()
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            if (one := known.get(chunk_key(raw[a:b]))) is not None and one[0] < one[1]:
+                out.append((a + one[0], a + one[1], one[2], one[3]))
+    return out
+
+
+def _gather(pool: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """pool[at : at + n] of every item, one after the other."""
+    ends = np.cumsum(n)
+    return pool[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
 
-    A chunk that is known brings the encoding of its middle, from its first white space to its last; others
-    are encoded here. What stands around a join, from the last white space before it to the first after it
-    (over as many chunks as have none), is put together and encoded again, so the ids agree exactly with
-    those of the whole text.
+def encode_block(data: np.ndarray, offsets: np.ndarray, codec: Codec, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's texts: all ids and their offsets, all decoded bytes and their offsets.
+
+    A known chunk brings the encoding of its middle, from its first white space to its last. What is left,
+    unknown chunks and what stands around a join (from the last white space before it to the first after it,
+    over as many chunks as have none), is encoded from the text as it stands there, so the ids agree exactly
+    with those of the whole text. Each distinct piece of a block is looked up or encoded once.
     """
-    ids: list[int] = []
-    named: list[str] = []
-    carried = b""
-
-    def add(found: tuple[list[int], str]) -> None:
-        if found[0]:
-            ids.extend(found[0])
-            named.append(found[1])
-
-    for chunk in chunks:
-        one = known.get(chunk_key(chunk)) if known else None
-        if one is not None:
-            head, tail, own, name = one
-            add(codec.encode(carried + chunk[:head]))
-            add((own, name))
-            carried = chunk[tail:]
-        elif (edge := sides(chunk)) is not None:
-            add(codec.encode(carried + chunk[: edge[1]]))
-            carried = chunk[edge[1] :]
-        else:
-            carried += chunk
-    add(codec.encode(carried))
-    return ids, " ".join(named)
-
-
-def _words(chunks: list[bytes], known: dict) -> Iterator[bytes]:
-    """The words that encode_chunks will ask for."""
-    carried: list[bytes] = []
-    for chunk in chunks:
-        one = known.get(chunk_key(chunk)) if known else None
-        if one is None:
-            carried.append(chunk)
-        else:
-            yield from b"".join([*carried, chunk[: one[0]]]).split()
-            carried = [chunk[one[1] :]]
-    yield from b"".join(carried).split()
+    if not len(data):
+        none = np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int32), none, np.zeros(0, np.uint8), none
+    middles = known_middles(data, offsets, known)
+    low, starts, ends, whole = cut_pieces(data, offsets)
+    if middles:
+        edges = np.array([m[:2] for m in middles])
+        place = np.searchsorted(edges[:, 0], starts, "right") - 1
+        left = (place < 0) | (starts >= edges[np.maximum(place, 0), 1])
+        starts, ends, whole = starts[left], ends[left], whole[left]
+    up, down = powers(len(data) + 1)
+    hashes = span_hashes(low, starts, ends) ^ whole.astype(np.uint64)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[low] * up[: len(data)], out=total[1:])
+    check = (total[ends] - total[starts]) * down[starts]
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    if not np.array_equal(check[first][inverse], check):  # two pieces of one hash: tell every piece apart
+        first = inverse = np.arange(len(hashes))
+    raw = low.tobytes()
+    pieces = [raw[a:b] if not w else (raw[a:b],) for a, b, w in zip(starts[first].tolist(), ends[first].tolist(), whole[first].tolist(), strict=True)]
+    found = codec.entries(pieces) + [(m[2], m[3]) for m in middles]
+    at, item = starts, inverse
+    if middles:
+        at, item = np.concatenate([starts, edges[:, 0]]), np.concatenate([inverse, len(pieces) + np.arange(len(middles))])
+        order = np.argsort(at, kind="stable")
+        at, item = at[order], item[order]
+    row = np.searchsorted(offsets, at, "right") - 1
+    out = []
+    for k, dtype in ((0, np.int32), (1, np.uint8)):
+        pool = np.frombuffer(b"".join([f[k] for f in found]), dtype)
+        n = np.array([len(f[k]) for f in found], np.int64) // np.dtype(dtype).itemsize
+        begin = np.cumsum(n) - n
+        values = _gather(pool, begin[item], n[item])
+        sizes = np.bincount(row, n[item], len(offsets) - 1).astype(np.int64)
+        if k:  # no space after a text's last token
+            last = np.cumsum(sizes)[sizes > 0] - 1
+            values, sizes = np.delete(values, last), sizes - (sizes > 0)
+        out += [values, np.concatenate([[0], np.cumsum(sizes)])]
+    return tuple(out)
 
 
 def chunk_census(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -174,8 +264,8 @@ def chunk_census(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "key binary, size long, n long").groupBy("key", "size").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def shared_chunks(docs: DataFrame, tokenizer_path: str, text_col: str = "text", most_bytes: int = DICTIONARY_BYTES) -> dict[bytes, tuple[int, int, array, str]]:
-    """The dictionary: shared chunks, each encoded once, by key: (head, tail, ids, decoded text).
+def shared_chunks(docs: DataFrame, tokenizer_path: str, text_col: str = "text", most_bytes: int = DICTIONARY_BYTES) -> dict[bytes, tuple[int, int, bytes, bytes]]:
+    """The dictionary: shared chunks, each encoded once, by key: (start and end of the middle, ids as int32 bytes, decoded text with a space after it).
 
     Of the chunks that occur more than once those that save most encoding are taken, up to most_bytes of
     text in all; the bound makes it fit for the driver and a broadcast at any size of the corpus.
@@ -205,20 +295,28 @@ def shared_chunks(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["key", "chunk"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tokenizer_path)
+        codec = codec_at(tokenizer_path)
         for batch in batches:
-            rows = []
-            for key, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if (edge := sides(chunk)) is not None:
-                    codec.learn(set(chunk[edge[0] : edge[1]].split()))
-                    ids, decoded = codec.encode(chunk[edge[0] : edge[1]])
-                    rows.append((key, *edge, array("i", ids).tobytes(), decoded))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], names=["key", "head", "tail", "ids", "decoded"])
+            rows = [(key, *edge, chunk[edge[0] : edge[1]]) for key, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (edge := sides(chunk)) is not None]
+            middles = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8)
+            ids, id_at, decoded, text_at = encode_block(middles, np.cumsum([0, *[len(r[3]) for r in rows]]), codec, {})
+            made = [(*r[:3], ids[id_at[k] : id_at[k + 1]].tobytes(), decoded[text_at[k] : text_at[k + 1]].tobytes() + b" ") for k, r in enumerate(rows)]
+            columns = zip(*made, strict=True) if made else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "head", "tail", "ids", "decoded"])
 
     texts = docs.select(F.col(text_col).cast("string")).mapInArrow(fetch, "key binary, chunk binary").groupBy("key").agg(F.first("chunk").alias("chunk"))
-    found = texts.mapInArrow(encode, "key binary, head int, tail int, ids binary, decoded string").collect()
-    return {bytes(r["key"]): (r["head"], r["tail"], array("i", bytes(r["ids"])), r["decoded"]) for r in found}
+    found = texts.mapInArrow(encode, "key binary, head int, tail int, ids binary, decoded binary").collect()
+    return {bytes(r["key"]): (r["head"], r["tail"], bytes(r["ids"]), bytes(r["decoded"])) for r in found if len(r["ids"])}
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch], codec: Codec, known: dict[bytes, tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, decoded) of batches of (doc_id, text), a block of texts at a time."""
+    for batch in batches:
+        for at, data, offsets in blocks(batch.column(1), BLOCK_BYTES):
+            ids, id_at, decoded, text_at = encode_block(data, offsets, codec, known)
+            n = len(offsets) - 1
+            texts = pa.StringArray.from_buffers(n, pa.py_buffer(text_at.astype(np.int32)), pa.py_buffer(decoded))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(id_at, pa.int32()), pa.array(ids)), texts], names=["doc_id", "ids", "decoded"])
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = DICTIONARY_BYTES) -> DataFrame:
@@ -231,25 +329,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     Method: a rolling hash cuts texts into content-defined chunks. Chunks that occur more than once are
     encoded once, as far as the dictionary's bound (most_bytes) reaches, and reused in every document;
-    other chunks are encoded where they stand. Joins are repaired until they agree exactly (encode_chunks).
+    other chunks are encoded where they stand. Joins are repaired so that they agree exactly (encode_block).
     Text is never shuffled: three scans, counts of chunk keys, and a dictionary of bounded size.
     """
     known = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, tokenizer_path, text_col, most_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, chunks_known = Codec(tokenizer_path), known.value
-        for batch in batches:
-            for at, data, offsets in blocks(batch.column(1)):
-                rows = list(_rows(data, offsets))
-                codec.learn({w for chunks in rows for w in _words(chunks, chunks_known)})
-                lengths, ids, decoded = [0], [], []
-                for chunks in rows:
-                    own, text = encode_chunks(chunks, codec, chunks_known)
-                    ids.append(np.array(own, np.int32))
-                    lengths.append(len(own))
-                    decoded.append(text)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+        return encode_batches(batches, codec_at(tokenizer_path), known.value)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
