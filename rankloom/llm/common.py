@@ -1,62 +1,20 @@
-"""What the operators share: the folder for tables that cut lineage, and Arrow text as numpy arrays."""
+"""What the operators share: Arrow text as numpy arrays, hashes of spans, and joins on skewed keys."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import drop_stored, shared_dir, stored  # noqa: F401
+
 #: Bytes of text that one numpy block holds; a longer single text makes a block of its own.
 BLOCK_BYTES = 2 << 20
 
-_own_dir: str | None = None
-_stored: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one of this process."""
-    global _own_dir
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        _own_dir = _own_dir or tempfile.mkdtemp(prefix="rankloom-")
-        at = "file://" + _own_dir
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
-
-    The table stays until drop_stored() or the end of the process.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rankloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _stored.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored() -> None:
-    """Delete what stored() has written; DataFrames that still read it are of no use afterwards."""
-    while _stored:
-        spark, path = _stored.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended already; the folder then goes with its owner
-            pass
-
-
-atexit.register(drop_stored)
-
-
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (one more than rows) of a string column; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

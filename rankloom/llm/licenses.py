@@ -65,7 +65,7 @@ class Templates:
                 dots[i] = dots.get(i, 0.0) + k * self.idf[t] * w
         if not dots:
             return 0.0, ""
-        cosine, name = min((-d / norm, self.names[i]) for i, d in dots.items())
+        cosine, name = min((-round(d / norm, 9), self.names[i]) for i, d in dots.items())
         return -cosine, name
 
     def scan(self, text: str) -> tuple[str | None, float]:

@@ -32,7 +32,10 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(data):
         k = kind[data]
         row = np.repeat(np.arange(rows), np.diff(offsets))
-        gram = (k * np.uint64(100) + np.append(k[1:], np.uint64(10)) * np.uint64(10) + np.append(k[2:], [np.uint64(10)] * min(2, len(k)))[: len(k)]) if len(k) > 2 else k
+        one, two = (np.append(k[j:], np.full(min(j, len(k)), 10, np.uint64)) for j in (1, 2))
+        left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))  # bytes to the text's end
+        one[left < 2], two[left < 3] = 10, 10  # nothing of the next text
+        gram = k * np.uint64(121) + one * np.uint64(11) + two
         place = (mix(gram) % np.uint64(TEXT_DIMS)).astype(np.int64)
         out = np.bincount(row * TEXT_DIMS + place, minlength=rows * TEXT_DIMS).reshape(rows, TEXT_DIMS).astype(np.float32)
     out = np.sqrt(out / np.maximum(1, np.diff(offsets))[:, None])

@@ -134,7 +134,9 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     keys = stored(docs.select(sort_key(id_col, text_col).alias("key"), made["size"].alias("size")))
     total = keys.agg(F.sum("size")).first()[0] or 0
     kept = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
-    rows = docs.select(*kept, *[c.alias(k) for k, c in made.items()], sort_key(id_col, text_col).alias("_key"))
+    own = "_" * (1 + max([0, *(len(c) - len(c.lstrip("_")) for c in kept)]))  # begins no column of docs
+    key, range_ = f"{own}key", f"{own}range"
+    rows = docs.select(*kept, *[c.alias(k) for k, c in made.items()], sort_key(id_col, text_col).alias(key))
     if not total:
         return rows.select(*kept, "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     parts = min(MOST_RANGES, max(FEWEST_RANGES, -(-total // (n_shards * range_bytes))))
@@ -149,9 +151,10 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
         at = 0 if r % parts == 0 else at
         before.append(at)
         at += sizes.get(r, 0)
-    rows = rows.withColumn("_range", range_of("_key", edges))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("_key", id_col))
-    return rows.withColumn("slot", F.get(_longs(before), F.col("_range").cast("int")) + place - 1).select(*kept, "size", "text_crc32", F.floor(F.col("_range") / parts).cast("int").alias("shard"), "slot")
+    rows = rows.withColumn(range_, range_of(key, edges))
+    place = F.row_number().over(Window.partitionBy(range_).orderBy(key, id_col))
+    slot = F.get(_longs(before), F.col(range_).cast("int")) + place - 1
+    return rows.withColumn("slot", slot).select(*kept, "size", "text_crc32", F.floor(F.col(range_) / parts).cast("int").alias("shard"), "slot")
 
 
 def op10_rows(docs: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def op3_rows(pages: DataFrame) -> DataFrame:
     hosts = stored(captures.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct())
     entries = spark.sql(ENTRIES.format(dot="instr(host, '.')").replace("from hosts", "from {hosts}"), hosts=hosts.withColumn("h", F.md5("host")))
     out = filter_captures(captures, entries.withColumnRenamed("day_at", "at"))
-    return out.select("page_id", "host", "fetched_at", F.array_join("lists", ",").alias("lists"), "n_entries", "blocked")
+    return out.select("page_id", "host", F.col("fetched_at").cast("string").alias("fetched_at"), F.array_join("lists", ",").alias("lists"), "n_entries", "blocked")
 
 
 ORACLE = r"""
@@ -121,6 +121,6 @@ spans as (
 ), found as (
   select page_id, string_agg(distinct list_name, ',' order by list_name) as lists, count(*) as n_entries from hits group by page_id
 )
-select page_id, host, cast(fetched_at as date) as fetched_at, coalesce(lists, '') as lists, coalesce(n_entries, 0)::bigint as n_entries, lists is not null as blocked
+select page_id, host, cast(cast(fetched_at as date) as varchar) as fetched_at, coalesce(lists, '') as lists, coalesce(n_entries, 0)::bigint as n_entries, lists is not null as blocked
 from captures left join found using (page_id)
 """
