@@ -12,23 +12,25 @@ from ..functions.hashing import normalize
 from .channels import recency_weight
 from .timeline import history, liked_or_all
 
-#: Vectors of a block of the matrix product, on either side.
-BLOCK = 4096
+#: Queries and items of a block of the matrix product; query rows that are multiplied at a time.
+QUERY_BLOCK, ITEM_BLOCK, ROWS = 1024, 16384, 128
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def user_vectors(ratings: DataFrame, cohort: DataFrame, item_vecs: DataFrame, dims: int, half_life_days: float = schemas.HALF_LIFE_DAYS) -> DataFrame:
-    """(user_id, query_time, fallback, v): recency-weighted mean of liked items' vectors, as a unit vector.
+def user_vectors(ratings: DataFrame, cohort: DataFrame, item_vecs: DataFrame, dims: int, half_lives: float | tuple[float, ...] = schemas.HALF_LIFE_DAYS) -> DataFrame:
+    """(half_life, user_id, query_time, fallback, v): recency-weighted mean of liked items' vectors, as a unit vector.
 
     Users without a liked item take all of theirs (fallback). Repeated events count again. One aggregation
-    of dims sums, combined within each task; nothing is exploded.
+    of dims sums, combined within each task; nothing is exploded but the half-lives, if several are asked for.
     """
-    rows = liked_or_all(history(ratings, cohort)).withColumn("w", recency_weight(half_life_days)).join(item_vecs, "item_id")
-    sums = rows.groupBy("user_id", "query_time").agg(F.first("fallback").alias("fallback"), F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col("v")[k]).alias(f"d{k}") for k in range(dims)])
-    return sums.select("user_id", "query_time", "fallback", normalize(F.array(*[F.col(f"d{k}") / F.col("w") for k in range(dims)])).alias("v"))
+    lives = half_lives if isinstance(half_lives, tuple) else (half_lives,)
+    rows = liked_or_all(history(ratings, cohort)).join(item_vecs, "item_id").withColumn("half_life", F.explode(F.array(*[F.lit(float(x)) for x in lives])))
+    rows = rows.withColumn("w", recency_weight(F.col("half_life")))
+    sums = rows.groupBy("half_life", "user_id", "query_time").agg(F.first("fallback").alias("fallback"), F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col("v")[k]).alias(f"d{k}") for k in range(dims)])
+    return sums.select("half_life", "user_id", "query_time", "fallback", normalize(F.array(*[F.col(f"d{k}") / F.col("w") for k in range(dims)])).alias("v"))
 
 
 def require_vectors(cohort: DataFrame, found: DataFrame) -> None:
@@ -43,7 +45,18 @@ def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
 
 
-def exact_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "item_id", vec: str = "v", block: int = BLOCK, extra: str | None = None, digits: int = 9) -> DataFrame:
+def best_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row in order, ties by column; scores are multiples of 1e-9 or so."""
+    n = scores.shape[1]
+    k = min(k, n)
+    if np.abs(scores).max(initial=0) * 1e9 * n < 2**62:  # score and column as one integer
+        keys = -np.rint(scores * 1e9).astype(np.int64) * n + np.arange(n)
+        near = np.argpartition(keys, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), keys.shape)
+        return np.take_along_axis(near, np.argsort(np.take_along_axis(keys, near, 1), axis=1), 1)
+    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+
+
+def exact_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "item_id", vec: str = "v", query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK, extra: str | None = None, digits: int = 9) -> DataFrame:
     """(query, item, score, rank): the k items of the highest inner product, rank from 0; ties by item.
 
     Scores are rounded to `digits` places first, so that equal vectors tie whatever the block they are in.
@@ -51,62 +64,63 @@ def exact_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "query
     own top k (plus the query's number in the column `extra`, for rows that a later filter takes away); the
     best of these are ranked for each query. Queries with a null vector have no neighbours.
     """
-    q = _blocks(queries.where(F.col(vec).isNotNull()).select(F.col(query).alias("q"), (F.col(extra) if extra else F.lit(0)).cast("long").alias("x"), F.col(vec).cast("array<double>").alias("v")), "q", block)
-    i = _blocks(items.where(F.col(vec).isNotNull()).select(F.col(item).alias("i"), F.col(vec).cast("array<double>").alias("v")), "i", block)
-    q_blocks, i_blocks = (df.select("block").distinct() for df in (q, i))
+    q = _blocks(queries.where(F.col(vec).isNotNull()).select(F.col(query).alias("id"), (F.col(extra) if extra else F.lit(0)).cast("long").alias("x"), F.col(vec).cast("array<double>").alias("v")), "id", query_block)
+    i = _blocks(items.where(F.col(vec).isNotNull()).select(F.col(item).alias("id"), F.col(vec).cast("array<double>").alias("v")), "id", item_block)
+    q_blocks, i_blocks = (df.select(F.col("block").alias("other")).distinct() for df in (q, i))
     # Rows go to every block of the other side: (block pair) is the unit of work.
-    left = q.join(i_blocks.withColumnRenamed("block", "other")).select(F.col("block").alias("qb"), F.col("other").alias("ib"), F.col("q").alias("id"), "x", "v", F.lit(True).alias("is_query"))
-    right = i.join(q_blocks.withColumnRenamed("block", "other")).select(F.col("other").alias("qb"), F.col("block").alias("ib"), F.col("i").alias("id"), F.lit(0).cast("long").alias("x"), "v", F.lit(False).alias("is_query"))
-    dtype = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(items.dtypes)[item]]
+    left = q.crossJoin(i_blocks).select(F.col("block").alias("qb"), F.col("other").alias("ib"), "id", "x", "v")
+    right = i.crossJoin(q_blocks).select(F.col("other").alias("qb"), F.col("block").alias("ib"), "id", "v")
     q_kind, i_kind = dict(queries.dtypes)[query], dict(items.dtypes)[item]
-    if q_kind != i_kind:
-        right = right.withColumn("id", F.col("id").cast(q_kind))
-
-    def product(t: pa.Table) -> pa.Table:
-        own = t.column("is_query").to_numpy()
-        v = np.stack([np.asarray(r) for r in t.column("v").to_pandas()]) if t.num_rows else np.zeros((0, 1))
-        ids = np.array(t.column("id").to_pylist(), object)
-        more = t.column("x").to_numpy()[own]
-        a, b, qi, ii = v[own], v[~own], ids[own], ids[~own]
-        out_q, out_i, out_s = [], [], []
-        if len(a) and len(b):
-            by_item = np.array(sorted(range(len(ii)), key=lambda j: ii[j]))
-            b, ii = b[by_item], ii[by_item]
-            scores = np.round(a @ b.T, digits)
-            for r in range(len(a)):
-                top = min(len(ii), k + int(more[r]))
-                cut = np.partition(-scores[r], top - 1)[top - 1] if top else 0.0
-                near = np.flatnonzero(-scores[r] <= cut)
-                near = near[np.argsort(-scores[r][near], kind="stable")][:top]
-                out_q += [qi[r]] * len(near)
-                out_i += ii[near].tolist()
-                out_s += scores[r][near].tolist()
-        return pa.table({"q": pa.array(out_q, t.schema.field("id").type), "i": pa.array(out_i).cast(dtype) if out_i else pa.array([], dtype), "score": pa.array(out_s, pa.float64())})
-
-    near = left.unionByName(right).groupBy("qb", "ib").applyInArrow(product, f"q {q_kind}, i {i_kind}, score double")
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        v = t.column("v").combine_chunks()
+        return v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+    def product(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("id")
+        rows, columns, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if a.num_rows and b.num_rows:
+            left_v, right_v, need = matrix(a), matrix(b).T.copy(), k + a.column("x").to_numpy()
+            for at in range(0, a.num_rows, ROWS):
+                scores = np.round(left_v[at : at + ROWS] @ right_v, digits)
+                near = best_of(scores, int(need[at : at + ROWS].max()))
+                wanted = np.arange(near.shape[1]) < need[at : at + ROWS, None]
+                r, c = np.nonzero(wanted)
+                rows.append(at + r)
+                columns.append(near[r, c])
+                values.append(scores[r, near[r, c]])
+        return pa.table({"q": a.column("id").take(pa.array(np.concatenate(rows))), "i": b.column("id").take(pa.array(np.concatenate(columns))), "score": pa.array(np.concatenate(values))})
+
+    near = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(product, f"q {q_kind}, i {i_kind}, score double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i")) - 1
-    need = queries.select(F.col(query).alias("q"), (F.lit(k) + (F.col(extra) if extra else F.lit(0))).alias("need"))
     ranked = near.withColumn("rank", place.cast("long"))
-    ranked = ranked.join(need, "q").where("rank < need") if extra else ranked.where(F.col("rank") < k)
+    if extra:
+        need = queries.select(F.col(query).alias("q"), (F.lit(k) + F.col(extra)).alias("need"))
+        ranked = ranked.join(need, "q").where("rank < need")
+    else:
+        ranked = ranked.where(F.col("rank") < k)
     return ranked.select(F.col("q").alias(query), F.col("i").alias(item), "score", "rank")
 
 
-def dense_topm(users: DataFrame, items: DataFrame, first: DataFrame, seen: DataFrame, m: int) -> DataFrame:
-    """The dense channel's lists: top m eligible items by inner product with (user_id, query_time, v).
+def dense_topm(users: DataFrame, items: DataFrame, first: DataFrame, seen: DataFrame, m: int, *settings: str) -> DataFrame:
+    """The dense channel's lists: top m eligible items by inner product with (settings, user_id, query_time, v).
 
     Items not available before the latest query time never enter; what else is not eligible for a user is
-    taken beyond m, as the search gives a user as many more as may have to go.
+    taken beyond m, as the search gives a user as many more as may have to go. Several settings (columns that
+    tell a user's vectors apart) are searched at once.
     """
+    keys = [*settings, "user_id"]
     last = users.agg(F.max("query_time").alias("last"))
+    usable_first = first.crossJoin(last).where("first_seen < last").drop("last")  # last is one row
     # Per user: own seen items and, where query times differ, items that come after the own one.
-    late = first.crossJoin(last).where("first_seen < last").join(users.select("query_time").distinct(), F.col("first_seen") >= F.col("query_time")).groupBy("query_time").agg(F.count("*").alias("n_late"))
+    late = usable_first.join(users.select("query_time").distinct(), F.col("first_seen") >= F.col("query_time")).groupBy("query_time").agg(F.count("*").alias("n_late"))
     n_seen = seen.groupBy("user_id").agg(F.count("*").alias("n_seen"))
-    q = users.join(n_seen, "user_id", "left").join(late, "query_time", "left").withColumn("more", F.coalesce("n_seen", F.lit(0)) + F.coalesce("n_late", F.lit(0)))
-    usable = items.join(first.crossJoin(last).where("first_seen < last").select("item_id"), "item_id", "left_semi")
-    near = exact_topk(q, usable, m, query="user_id", extra="more")
-    open_ = near.drop("rank").join(users.select("user_id", "query_time"), "user_id").join(first, "item_id").where("first_seen < query_time").join(seen, ["user_id", "item_id"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")) - 1
-    return open_.withColumn("rank", place.cast("long")).where(F.col("rank") < m).select("user_id", "query_time", "rank", "item_id", F.col("score").alias("l1_score"))
+    named = users.withColumn("q", F.concat_ws("|", *keys)) if settings else users.withColumn("q", F.col("user_id"))
+    q = named.join(n_seen, "user_id", "left").join(late, "query_time", "left").withColumn("more", F.coalesce("n_seen", F.lit(0)) + F.coalesce("n_late", F.lit(0)))
+    near = exact_topk(q, items.join(usable_first, "item_id", "left_semi"), m, query="q", extra="more").drop("rank")
+    open_ = near.join(named.select("q", *keys, "query_time"), "q").join(first, "item_id").where("first_seen < query_time").join(seen, ["user_id", "item_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "item_id")) - 1
+    return open_.withColumn("rank", place.cast("long")).where(F.col("rank") < m).select(*settings, "user_id", "query_time", "rank", "item_id", F.col("score").alias("l1_score"))
 
 
 def lsh_topk(queries: DataFrame, items: DataFrame, k: int, dims: int, tables: int = 16, bits: int = 4, overfetch: int = 4, query: str = "query_id", item: str = "item_id", seed: int = 0) -> DataFrame:

@@ -81,12 +81,12 @@ class View:
         return stored(channels.topm_from_scores(scores, self.cohort(split), self.first(), self.seen(split), m))
 
     @cache
-    def users(self, split: str, half_life: float = schemas.HALF_LIFE_DAYS) -> DataFrame:
-        return stored(vectors.user_vectors(self.ratings(), self.cohort(split), self.item_vectors(), DIMS, half_life))
+    def users(self, split: str, half_lives: float | tuple[float, ...] = schemas.HALF_LIFE_DAYS) -> DataFrame:
+        return stored(vectors.user_vectors(self.ratings(), self.cohort(split), self.item_vectors(), DIMS, half_lives))
 
     @cache
-    def dense_pool(self, split: str, m: int = M, half_life: float = schemas.HALF_LIFE_DAYS) -> DataFrame:
-        return stored(vectors.dense_topm(self.users(split, half_life), self.item_vectors(), self.first(), self.seen(split), m))
+    def dense_pool(self, split: str, m: int = M) -> DataFrame:
+        return stored(vectors.dense_topm(self.users(split), self.item_vectors(), self.first(), self.seen(split), m))
 
     @cache
     def merged(self, split: str, m: int = 20) -> DataFrame:
@@ -247,11 +247,9 @@ def positive_reachability(v: View) -> DataFrame:
 
 @query
 def half_life_sweep(v: View) -> DataFrame:
-    out = None
-    for days in (30.0, 90.0, 180.0, 365.0):
-        one = v.dense_pool("valid", M, days).withColumn("half_life", F.lit(days))
-        out = one if out is None else out.unionByName(one)
-    return metrics.recall_table(out, v.cohort("valid"), v.positives("valid"), (50, 100), "half_life")
+    users = v.users("valid", (30.0, 90.0, 180.0, 365.0))
+    pool = stored(vectors.dense_topm(users, v.item_vectors(), v.first(), v.seen("valid"), M, "half_life"))
+    return metrics.recall_table(pool, v.cohort("valid"), v.positives("valid"), (50, 100), "half_life")
 
 
 @query

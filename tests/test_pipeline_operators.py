@@ -127,13 +127,13 @@ def test_blocked_topk_equals_brute_force(spark):
     a, b = unit(7, 16, 0), unit(537, 16, 1)
     b[10] = b[3]
     q, i = vec_frame(spark, "query_id", a), vec_frame(spark, "item_id", b)
-    for block in (4096, 100, 3):
-        got = {(r.query_id, r.rank): r.item_id for r in vectors.exact_topk(q, i, 20, block=max(block, 3)).collect()}
+    for sizes in ((1024, 16384), (3, 100)):
+        got = {(r.query_id, r.rank): r.item_id for r in vectors.exact_topk(q, i, 20, query_block=sizes[0], item_block=sizes[1]).collect()}
         for k in range(7):
             s = np.round(a[k] @ b.T, 9)
             assert [got[k, r] for r in range(20)] == sorted(range(537), key=lambda j: (-s[j], j))[:20]
-        if block == 100:
-            break
+    ties = np.array([[3e9, 1, 3e9, 2], [0, 0, 0, 0]])
+    assert vectors.best_of(ties, 3).tolist() == vectors.best_of(ties / 1e9, 3).tolist() == [[0, 2, 3], [0, 1, 2]]
     assert vectors.exact_topk(q, i.limit(5), 9).count() == 7 * 5
 
 
