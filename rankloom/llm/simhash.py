@@ -166,8 +166,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A node of the graph is one fingerprint; those without a link are their own root.
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stored(named.where((F.col("copies") > 1) | F.col("root").isNotNull()).select("fp", "root", "first_id", "copies"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
-    joined = named.join(least, "root").where((F.col("copies") > 1) | (F.col("members") > 1)).select("fp", "component_id", "copies")
+    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"), F.count("*").alias("weight"))
+    joined = skew_join(named, least, "root", "weight", n).where((F.col("copies") > 1) | (F.col("members") > 1)).select("fp", "component_id", "copies")
     joined = stored(joined)
     out = skew_join(fps, joined, "fp", "copies", rows, "left")
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
