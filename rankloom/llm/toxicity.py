@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from .langid import fold
 
 #: Labelled rows that the lexicon and the weights are fitted on, at about most; terms of the lexicon; of these, matched with one edit.
 TRAIN_ROWS, TERMS, FUZZY_TERMS = 20_000, 400, 100
+#: Labelled texts with a term's one-edit matches from which they are judged for themselves.
+FEW = 5
 #: The least log-likelihood ratio of a term: chance reaches it once in e**14, about a million, words.
 SURE = 14.0
 #: A term is at least so long, and so long to be matched with an edit. Words on either side that make a context.
@@ -216,28 +219,39 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "
 
 
 def _word_counts(train: DataFrame) -> list[tuple[str, int, int]]:
-    """(word, toxic texts, clean texts) of the words that stand most often in toxic texts, net of clean ones."""
+    """(word, toxic contexts, clean texts) of the words that stand most often in toxic texts, net of clean ones.
+
+    A toxic text counts by the two neighbours of the word's first place in it, and equal neighbours count
+    once: copies and near copies of one toxic text say no more of its words than the text itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        toxic_seen: set[tuple[str, int]] = set()
+        clean: Counter = Counter()
         for batch in batches:
             toxic = batch.column(1).to_pylist()
             for at, data, offsets in blocks(batch.column(0)):
                 _, low, starts, ends, first = split(data, offsets)
                 text = text_of(low)
-                edges = list(zip(starts.tolist(), ends.tolist(), strict=True))
+                words = [text[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 for r in range(len(offsets) - 1):
-                    own = {text[s:e] for s, e in edges[first[r] : first[r + 1]] if e - s >= SHORTEST}
-                    counts[int(bool(toxic[at + r]))].update(own)
-        for k, found in counts.items():
-            words = list(found)
-            n = np.fromiter(found.values(), np.int64, len(words))
-            for at in range(0, len(words), 50_000):
-                part = n[at : at + 50_000]
-                none = np.zeros(len(part), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000]), pa.array(part if k else none), pa.array(none if k else part)], names=["word", "toxic", "clean"])
-
-    counted = train.mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+                    own = words[first[r] : first[r + 1]]
+                    if not toxic[at + r]:
+                        clean.update({w for w in own if len(w) >= SHORTEST})
+                        continue
+                    place: dict[str, int] = {}
+                    for i, w in enumerate(own):
+                        if len(w) >= SHORTEST:
+                            place.setdefault(w, i)
+                    for w, i in place.items():
+                        toxic_seen.add((w, xxhash.xxh64_intdigest(" ".join(own[max(0, i - 1) : i] + ["."] + own[i + 1 : i + 2])) >> 1))
+        rows = [(w, c, 0) for w, c in toxic_seen] + [(w, None, n) for w, n in clean.items()]
+        for at in range(0, len(rows), 50_000):
+            part = rows[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64())], names=["word", "context", "clean"])
+
+    counted = train.mapInArrow(run, "word string, context long, clean long").groupBy("word", "context").agg(F.sum("clean").alias("clean"))
+    counted = counted.groupBy("word").agg(F.count("context").alias("toxic"), F.sum("clean").alias("clean"))
     # Ordered by how often a word speaks for a toxic label, and how clearly; ties by the word.
     gain = F.expr("toxic * ln((toxic + 0.5) / (clean + 0.5))")
     return [tuple(r) for r in counted.where("toxic >= 3 and toxic > clean / 4").orderBy(F.desc(gain), "word").limit(20 * TERMS).collect()]
@@ -288,7 +302,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Terms are words whose toxic texts are too many for chance: the likelihood ratio against the base rate
     exceeds SURE, which allows for the number of words looked at. Weights are smoothed log-odds, for a match
-    with one edit those of such matches (nothing if they are below 1), at most 0.8 of the exact term's.
+    with one edit those of such matches (of all terms of its length if there are few, 0.6 of the exact term's
+    while no clean text has any; nothing if they are below 1), at most 0.8 of the exact term's.
     With labels of one kind only, or none, there is no term and every score is the base rate.
     """
     train = training_rows(docs, labels, most, id_col, text_col).cache()
@@ -313,10 +328,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             edited[kind][1 - toxic] += 1
         for c in {c for k, c, _ in matches if not k % 2}:
             contexts[c][1 - toxic] += 1
+    pooled: dict[int, list[int]] = defaultdict(lambda: [0, 0])
     for kind, (a, b) in edited.items():
-        exact = model.weights[kind - 1]
-        odds = log_odds(a, b)
-        model.weights[kind] = min(odds, 0.8 * exact) if odds >= 1 else 0.0
+        of = pooled[min(9, len(model.automaton.terms[kind // 2]))]
+        of[0], of[1] = of[0] + a, of[1] + b
+    for term, word in enumerate(model.automaton.terms):
+        kind, (a, b) = 2 * term + 1, edited[2 * term + 1]
+        if a + b < FEW:  # what is known of such matches of terms of this length
+            a, b = pooled[min(9, len(word))]
+            odds = log_odds(a, b) if b else 0.6 * model.weights[2 * term]
+        else:
+            odds = log_odds(a, b)
+        model.weights[kind] = min(odds, 0.8 * model.weights[2 * term]) if odds >= 1 else 0.0
     rate = {c: a / (a + b) for c, (a, b) in contexts.items()}
     model.context = {c: min(1.2, r / rate[PLAIN]) for c, r in rate.items()}
     x, y = [], []
