@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..storage import stored
 from .timeline import history, liked_or_all
 
 
 def popularity(ratings: DataFrame, cohort: DataFrame, window_days: int = schemas.WINDOW_DAYS) -> DataFrame:
     """(query_time, item_id, score): events of an item in [query_time - window, query_time), any rating.
 
-    Work is shared by distinct query times: each event meets the few it falls under.
+    Work is shared by distinct query times. Time is cut into spans of the window's length; a query time's
+    window touches two of them, so events meet query times by equality of the span, exact times decide.
     """
-    times = cohort.select("query_time").distinct()
+    span = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (86400 * window_days))
     days = F.expr(f"make_dt_interval({window_days})")
-    met = ratings.select("item_id", "ts").join(times, (F.col("ts") < F.col("query_time")) & (F.col("ts") >= F.col("query_time") - days))
+    times = cohort.select("query_time").distinct().withColumn("span", F.explode(F.array(span("query_time") - 1, span("query_time"))))
+    met = ratings.select("item_id", "ts", span("ts").alias("span")).join(times, "span").where((F.col("ts") < F.col("query_time")) & (F.col("ts") >= F.col("query_time") - days))
     return met.groupBy("query_time", "item_id").agg(F.count("*").cast("double").alias("score"))
 
 
@@ -30,14 +33,15 @@ def topm_shared(scores: DataFrame, cohort: DataFrame, first: DataFrame, seen: Da
 
     Eligible are items available before the query time that the user has not seen; those without a score
     count 0 and fill up. Ties go to the smaller item. Instead of users times items, items are ranked once a
-    query time; a user then needs no more than m + (own seen items) of that ranking.
+    query time; a user then needs no more than m + (own seen items) of that ranking. How deep any user goes
+    is found first, so that ranking keeps no more of any partition.
     """
     ranked = available(first, cohort).join(scores, ["query_time", "item_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     n_seen = seen.groupBy("user_id").agg(F.count("*").alias("n_seen"))
-    users = cohort.select("user_id", "query_time").join(n_seen, "user_id", "left").withColumn("n", F.lit(m) + F.coalesce("n_seen", F.lit(0)))
-    deepest = users.agg(F.max("n").alias("deepest"))
+    users = stored(cohort.select("user_id", "query_time").join(n_seen, "user_id", "left").withColumn("n", F.lit(m) + F.coalesce("n_seen", F.lit(0))))
+    deepest = users.agg(F.max("n")).first()[0] or m
     place = F.row_number().over(Window.partitionBy("query_time").orderBy(F.desc("score"), "item_id"))
-    top = ranked.withColumn("place", place).crossJoin(deepest).where("place <= deepest")  # deepest is one row
+    top = ranked.withColumn("place", place).where(F.col("place") <= deepest)
     lists = top.groupBy("query_time").agg(F.array_sort(F.collect_list(F.struct("place", "item_id", "score"))).alias("list"))
     wide = users.join(lists, "query_time").select("user_id", "query_time", F.explode(F.slice("list", 1, F.col("n").cast("int"))).alias("x")).select("user_id", "query_time", "x.*")
     open_ = wide.join(seen, ["user_id", "item_id"], "left_anti")
