@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +22,17 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def user_vectors(ratings: DataFrame, cohort: DataFrame, item_vecs: DataFrame, dims: int, half_lives: float | tuple[float, ...] = schemas.HALF_LIFE_DAYS) -> DataFrame:
+def user_vectors(ratings: DataFrame, cohort: DataFrame, item_vecs: DataFrame, half_lives: float | tuple[float, ...] = schemas.HALF_LIFE_DAYS) -> DataFrame:
     """(half_life, user_id, query_time, fallback, v): recency-weighted mean of liked items' vectors, as a unit vector.
 
-    Users without a liked item take all of theirs (fallback). Repeated events count again. One aggregation
-    of dims sums, combined within each task; nothing is exploded but the half-lives, if several are asked for.
+    Users without a liked item take all of theirs (fallback). Repeated events count again. One weighted mean
+    of whole vectors, combined within each task; nothing is exploded but the half-lives, if several are asked for.
     """
     lives = half_lives if isinstance(half_lives, tuple) else (half_lives,)
     rows = liked_or_all(history(ratings, cohort)).join(item_vecs, "item_id").withColumn("half_life", F.explode(F.array(*[F.lit(float(x)) for x in lives])))
-    rows = rows.withColumn("w", recency_weight(F.col("half_life")))
-    sums = rows.groupBy("half_life", "user_id", "query_time").agg(F.first("fallback").alias("fallback"), F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col("v")[k]).alias(f"d{k}") for k in range(dims)])
-    return sums.select("half_life", "user_id", "query_time", "fallback", normalize(F.array(*[F.col(f"d{k}") / F.col("w") for k in range(dims)])).alias("v"))
+    mean = Summarizer.mean(array_to_vector("v"), recency_weight(F.col("half_life")))
+    means = rows.groupBy("half_life", "user_id", "query_time").agg(F.first("fallback").alias("fallback"), mean.alias("mean"))
+    return means.select("half_life", "user_id", "query_time", "fallback", normalize(vector_to_array("mean")).alias("v"))
 
 
 def require_vectors(cohort: DataFrame, found: DataFrame) -> None:

@@ -82,7 +82,7 @@ class View:
 
     @cache
     def users(self, split: str, half_lives: float | tuple[float, ...] = schemas.HALF_LIFE_DAYS) -> DataFrame:
-        return stored(vectors.user_vectors(self.ratings(), self.cohort(split), self.item_vectors(), DIMS, half_lives))
+        return stored(vectors.user_vectors(self.ratings(), self.cohort(split), self.item_vectors(), half_lives))
 
     @cache
     def dense_pool(self, split: str, m: int = M) -> DataFrame:

@@ -108,10 +108,10 @@ def test_cohort_counts_rows_and_respects_edges(spark):
 def test_user_vectors_fall_back_and_normalise(spark):
     r = log(spark, [("u", "a", 5, day(-10)), ("u", "b", 1, day(-1)), ("v", "b", 1, day(-1)), ("v", "b", 2, day(-1))])
     iv = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 2.0])], "item_id string, v array<double>")
-    got = {x.user_id: (x.fallback, list(x.v)) for x in vectors.user_vectors(r, cohort(spark, "u", "v"), iv, 2).collect()}
+    got = {x.user_id: (x.fallback, list(x.v)) for x in vectors.user_vectors(r, cohort(spark, "u", "v"), iv).collect()}
     assert got["u"] == (False, pytest.approx([0.6, 0.8])) and got["v"] == (True, pytest.approx([0.0, 1.0]))
     with pytest.raises(ValueError):
-        vectors.require_vectors(cohort(spark, "u", "z"), vectors.user_vectors(r, cohort(spark, "u"), iv, 2))
+        vectors.require_vectors(cohort(spark, "u", "z"), vectors.user_vectors(r, cohort(spark, "u"), iv))
 
 
 def unit(n, d, seed):
