@@ -9,17 +9,23 @@ from .. import schemas
 from ..storage import stored
 from .timeline import history, liked_or_all
 
+#: Shares of the events of one span of time.
+SALTS = 64
+
 
 def popularity(ratings: DataFrame, cohort: DataFrame, window_days: int = schemas.WINDOW_DAYS) -> DataFrame:
     """(query_time, item_id, score): events of an item in [query_time - window, query_time), any rating.
 
     Work is shared by distinct query times. Time is cut into spans of the window's length; a query time's
-    window touches two of them, so events meet query times by equality of the span, exact times decide.
+    window touches two of them, so events meet query times by equality of the span, exact times decide. As
+    one span may hold all events that count, query times are repeated for each of SALTS shares of the events.
     """
     span = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (86400 * window_days))
     days = F.expr(f"make_dt_interval({window_days})")
     times = cohort.select("query_time").distinct().withColumn("span", F.explode(F.array(span("query_time") - 1, span("query_time"))))
-    met = ratings.select("item_id", "ts", span("ts").alias("span")).join(times, "span").where((F.col("ts") < F.col("query_time")) & (F.col("ts") >= F.col("query_time") - days))
+    times = times.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    events = ratings.select("item_id", "ts", span("ts").alias("span"), F.pmod(F.xxhash64("item_id", "ts"), F.lit(SALTS)).cast("int").alias("salt"))
+    met = events.join(times, ["span", "salt"]).where((F.col("ts") < F.col("query_time")) & (F.col("ts") >= F.col("query_time") - days))
     return met.groupBy("query_time", "item_id").agg(F.count("*").cast("double").alias("score"))
 
 
