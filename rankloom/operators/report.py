@@ -100,3 +100,12 @@ def robustness(a: DataFrame, b: DataFrame) -> DataFrame:
     """(model, robust): do both leaderboards' differences have one sign?"""
     both = a.select("model", F.col("diff_vs_l1").alias("x")).join(b.select("model", F.col("diff_vs_l1").alias("y")), "model")
     return both.select("model", (F.signum("x") == F.signum("y")).alias("robust"))
+
+
+def preparation(items: DataFrame, profiles: DataFrame, cohort: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row: items, those wanted but without metadata, shares cut to the budget, users, mean positives."""
+    i = items.agg(F.count("*").alias("items"), F.avg(F.col("truncated").cast("double")).alias("item_truncated_share"))
+    gap = wanted.select("item_id").distinct().join(items, "item_id", "left_anti").agg(F.count("*").alias("items_without_metadata"))
+    p = profiles.agg(F.avg(F.col("profile_truncated").cast("double")).alias("profile_truncated_share"))
+    c = cohort.agg(F.count("*").alias("users"), F.avg("n_pos").alias("positives_per_user"))
+    return i.crossJoin(gap).crossJoin(p).crossJoin(c)  # one row each

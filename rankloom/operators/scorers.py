@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -157,3 +158,58 @@ def run_totals(runs: DataFrame) -> DataFrame:
 
 def error_histogram(errors: DataFrame) -> DataFrame:
     return errors.groupBy("error").agg(F.count("*").alias("n"))
+
+
+def pairwise_scorer(predict: Callable[[list[tuple[str, str]]], list[float]], profile: str = "profile", text: str = "text", batch: int = 32, squash: bool = True) -> Callable[[dict, list[dict]], list[float]]:
+    """A cross-encoder as a scorer: (profile, candidate text) pairs in batches; logits become probabilities."""
+
+    def score(user: dict, candidates: list[dict]) -> list[float]:
+        pairs = [(c[profile] or "", c[text] or "") for c in candidates]
+        found = [float(x) for i in range(0, len(pairs), batch) for x in predict(pairs[i : i + batch])]
+        return [1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x)) for x in found] if squash else found
+
+    return score
+
+
+def yes_probability(yes: float, no: float) -> float:
+    """The softmax over two logits, of the first."""
+    return 1 / (1 + math.exp(min(700.0, no - yes)))
+
+
+def listwise_scorer(ask: Callable[[dict, list[str]], list[dict]], text: str = "text") -> Callable[[dict, list[dict]], list[float]]:
+    """A model that is asked once about all candidates and replies with {'index' or 'text', 'score'} in any order.
+
+    Replies are mapped back by index, else by text (the first candidate of that text that has none); a candidate
+    without a reply is a failure.
+    """
+
+    def score(user: dict, candidates: list[dict]) -> list[float]:
+        texts = [c[text] or "" for c in candidates]
+        out = [float("nan")] * len(texts)
+        for reply in ask(user, texts):
+            at = reply.get("index")
+            if at is None:
+                at = next((i for i, t in enumerate(texts) if t == reply.get("text") and math.isnan(out[i])), None)
+            if at is not None and 0 <= at < len(out):
+                out[at] = float(reply["score"])
+        return out
+
+    return score
+
+
+#: Built-in scorers by name: what each needs besides the pool.
+REGISTRY: dict[str, Callable[..., DataFrame]] = {"l1_order": l1_order, "random": random_order, "popularity": popularity_order, "oracle": oracle_order}
+
+
+def build(name: str, **needs: object) -> Callable[[DataFrame], DataFrame]:
+    """The scorer of a name, ready for a pool; an unknown name raises."""
+    if name not in REGISTRY:
+        raise ValueError(f"unknown scorer: {name}")
+    return lambda pool: REGISTRY[name](pool, **needs)
+
+
+def first_users(rows: DataFrame, n: int | None) -> DataFrame:
+    """Rows of the first n users by id (a smoke test's limit); all without n."""
+    if not n:
+        return rows
+    return rows.join(F.broadcast(rows.select("user_id").distinct().orderBy("user_id").limit(n)), "user_id", "left_semi")

@@ -322,5 +322,15 @@ ORACLE_SQL: dict[str, str] = {
     "hash_embedding": f"select item_id, dim, round(x / sqrt(sum(x * x) over (partition by item_id)), 6) + 0.0 as x from (select item_id, dim, count(w) + 1e-6::double as x from (select p_partkey as item_id, d.dim, w from (select p_partkey, unnest({words('lower(p_name)')}) as w from part) p right join (select p_partkey as k, dim from part, range(0, 64) r(dim)) d on p.p_partkey = d.k and ('0x' || right(md5(w), 2))::bigint % 64 = d.dim) y group by all) z".replace("select p_partkey as item_id, d.dim, w from (select p_partkey", "select d.k as item_id, d.dim, w from (select p_partkey"),
     "freeze_digest": statement("select user_id, count(*) as n, sha256(string_agg(item_id::varchar, ',' order by rank)) as digest from pool group by user_id"),
     "cost_latency": "select event_type as model, round(quantile_cont(value / 1000, 0.5), 6) + 0.0 as latency_p50, round(quantile_cont(value / 1000, 0.95), 6) + 0.0 as latency_p95, count(*) filter (event_id % 97 = 0) as failures, round(sum(length(props)) * 0.24::double / 1e6, 6) + 0.0 as cost_usd from events group by event_type",
+    "preparation_report": statement(
+        f"select (select count(*) from prep) as items, (select round(avg(truncated::int), 6) + 0.0 from prep) as item_truncated_share, (select count(*) from (select distinct item_id from ratings) r anti join prep using (item_id)) as items_without_metadata, (select round(avg(profile_truncated::int), 6) + 0.0 from prof) as profile_truncated_share, (select count(*) from cohort_test) as users, (select round(avg(n_pos), 6) + 0.0 from cohort_test) as positives_per_user",
+        {"prep": f"select item_id, {cut('t', 9)} from (select p_partkey as item_id, 'Title: ' || p_name || chr(10) || 'Store: ' || p_brand || chr(10) || 'Categories: ' || p_type as t from part where p_partkey % 9 > 0) x", "prof": _PROFILE},
+    ),
+    "pool_sizes": statement("select count(*) as count, round(avg(n), 6) + 0.0 as mean, round(stddev_samp(n), 6) + 0.0 as std, min(n) as min, " + ", ".join(f"round(quantile_cont(n, {q}), 6) + 0.0 as p{int(q * 100)}" for q in (0.25, 0.5, 0.75)) + ", max(n) as max from (select user_id, count(*) as n from coocpool_test group by user_id) x"),
+    "run_totals": "select event_type as model, count(*) filter (event_id % 97 = 0) as failures, sum(event_id % 5)::bigint as retries, string_agg(distinct 'v' || event_id % 3, ',' order by 'v' || event_id % 3) as versions from events group by event_type",
+    "error_histogram": "select 'error ' || event_id % 4 as error, count(*) as n from events where event_id % 97 = 0 group by 1",
     "latest_run": "select event_type as model, event_id as run_id, date_trunc('day', ts)::timestamp as started_at from events where coalesce(case when event_id % 3 = 0 then event_id % 2 end, 0) = 0 qualify row_number() over (partition by event_type order by date_trunc('day', ts) desc, event_id desc) = 1",
 }
+
+ORACLE_SQL["markdown_rows"] = f"select model, printf('%.4f', p_10) as p_10, case when diff_vs_l1 is null then '—' else printf('%+.4f', diff_vs_l1) end as diff from ({ORACLE_SQL['leaderboard_graded']}) b"
+ORACLE_SQL["robustness_rule"] = f"select model, sign(diff_vs_l1) = sign(precision_10 - 0.5::double) as robust from ({ORACLE_SQL['leaderboard']}) b where diff_vs_l1 is not null"

@@ -466,3 +466,47 @@ def latest_run(v: View) -> DataFrame:
     """Events as runs: the latest of each model, limited ones left out."""
     e = v.table("events").select(F.col("event_type").alias("model"), F.col("event_id").alias("run_id"), F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("started_at"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 2).alias("limit_users"))
     return report.latest_runs(e).select("model", "run_id", "started_at")
+
+
+@query
+def preparation_report(v: View) -> DataFrame:
+    fields = {"title": F.col("title"), "store": F.col("store"), "categories": F.array_join("categories", "; ")}
+    items = v.items().where("item_id % 9 > 0").select("item_id", text.cut(text.render_item(fields), 9).getField("truncated").alias("truncated"))
+    named = v.items().select("item_id", "title", text.item_attrs(F.col("categories"), F.col("store")).alias("attrs"))
+    profiles = text.build_profiles(timeline.history(v.ratings(), v.cohort("test")), named, 60)
+    return report.preparation(items, profiles, v.cohort("test"), v.ratings())
+
+
+@query
+def pool_sizes(v: View) -> DataFrame:
+    """How many candidates users have in the co-occurrence pool."""
+    n = v.cooc_pool("test").groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("count"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("min"), *[F.percentile("n", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.max("n").alias("max"))
+
+
+@query
+def run_totals(v: View) -> DataFrame:
+    """Events as calls: failures, retries and versions of each model."""
+    e = v.table("events").select(F.col("event_type").alias("model"), (F.col("event_id") % 97 == 0).cast("int").alias("failures"), (F.col("event_id") % 5).alias("retries"), F.concat(F.lit("v"), F.col("event_id") % 3).alias("version"))
+    return scorers.run_totals(e)
+
+
+@query
+def error_histogram(v: View) -> DataFrame:
+    e = v.table("events").where("event_id % 97 = 0").select(F.concat(F.lit("error "), F.col("event_id") % 4).alias("error"))
+    return scorers.error_histogram(e)
+
+
+@query
+def markdown_rows(v: View) -> DataFrame:
+    """The graded leaderboard's means as Markdown cells."""
+    board = QUERIES["leaderboard_graded"](v.spark, v.dir)
+    return board.select("model", text.plain(F.col("p_10")).alias("p_10"), text.signed(F.col("diff_vs_l1")).alias("diff"))
+
+
+@query
+def robustness_rule(v: View) -> DataFrame:
+    """Do the differences of P@10 and NDCG@10 have one sign?"""
+    board = QUERIES["leaderboard"](v.spark, v.dir)
+    other = board.select("model", (F.col("precision_10") - F.lit(0.5)).alias("diff_vs_l1"))
+    return report.robustness(board.where("diff_vs_l1 is not null"), other)

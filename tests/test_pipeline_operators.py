@@ -305,3 +305,50 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     q.stop()
     got = sorted((r["item"], r.score) for r in spark.table("pop").collect())
     assert got == [("a", 1), ("a", 2), ("a", 2), ("b", 1)]
+
+
+def test_run_folders_and_reports(spark, tmp_path):
+    from rankloom.sources import sinks
+
+    per = spark.createDataFrame([("u", 0.5)], "user_id string, x double")
+    name = sinks.run_id("m", dt.datetime(2024, 5, 1, 2, 3, 4))
+    assert name == "20240501T020304Z-m"
+    sinks.write_run(f"file://{tmp_path}/runs", name, {"model": "m", "started_at": "2024"}, per, per, {"timeout": 2})
+    manifests, found = readers.load_runs(spark, f"{tmp_path}/runs")
+    assert [(r.run_id, r.model) for r in manifests.collect()] == [(name, "m")] and found.count() == 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_run(f"file://{tmp_path}/runs", name, {}, per, per)
+    board = spark.createDataFrame([("l1_order", 0.1, None, None, None, None, None), ("m", 0.2, 0.1, 0.05, 0.15, 0.01, True)], "model string, `ndcg@10` double, diff_vs_l1 double, ci_low double, ci_high double, p_holm double, beats_l1 boolean")
+    text_ = sinks.write_leaderboard(board, f"file://{tmp_path}/board")
+    assert text_.splitlines()[2:] == ["| m | 0.2000 | +0.1000 [+0.0500, +0.1500] | 0.0100 | yes |", "| l1_order | 0.1000 | — | — | — |"]
+    assert sinks.write_report(spark, f"file://{tmp_path}/r.json", a=per, n=3) == {"a": {"user_id": "u", "x": 0.5}, "n": 3}
+    (tmp_path / "t.txt").write_text("hello")
+    assert sinks.load_template(str(tmp_path / "t.txt"))[1].startswith("2cf24dba")
+
+
+def test_embedding_cache_depends_on_texts(spark, tmp_path):
+    from rankloom.sources import sinks
+
+    made = lambda: lambda texts: [[float(len(x))] for x in texts]
+    rows = spark.createDataFrame([(1, "ab"), (2, None)], "id long, t string")
+    for _ in range(2):
+        got = sinks.cached_vectors(rows, "id", "t", "enc", made, f"file://{tmp_path}")
+        assert sorted((r.id, list(r.v)) for r in got.collect()) == [(1, [2.0]), (2, [0.0])]
+    keys = {sinks.cache_key(r, "id", "t", e) for r, e in ((rows, "enc"), (rows.repartition(2), "enc"), (rows, "other"), (rows.withColumn("t", F.lit("x")), "enc"))}
+    assert len(keys) == 3
+
+
+def test_model_hooks():
+    given = [{"profile": "p", "text": t} for t in ("a", "bb", "a")]
+    assert scorers.pairwise_scorer(lambda pairs: [0.0] * len(pairs), batch=2)({}, given) == [0.5] * 3
+    assert scorers.yes_probability(2.0, 2.0) == 0.5 and scorers.yes_probability(0.0, 1e6) < 1e-300
+    got = scorers.listwise_scorer(lambda u, t: [{"text": "a", "score": 1}, {"index": 1, "score": 2}, {"text": "zz", "score": 9}])({}, given)
+    assert got[:2] == [1.0, 2.0] and math.isnan(got[2])
+    with pytest.raises(ValueError):
+        scorers.build("nobody")
+
+
+def test_first_users(spark):
+    df = spark.createDataFrame([(u, k) for u in "cab" for k in range(2)], "user_id string, k int")
+    assert {r.user_id for r in scorers.first_users(df, 2).collect()} == {"a", "b"} and scorers.first_users(df, None).count() == 6
+    assert scorers.build("l1_order")(df.select("user_id", F.col("k").alias("rank"), F.lit("i").alias("item_id"))).count() == 6
