@@ -14,6 +14,13 @@ from .. import schemas
 ENTITIES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
+#: Wording of profiles, items and prompts (fixed values: stored texts and prompts must not change).
+HIGH, LOW, NONE = "Items this shopper rated highly:", "Items this shopper rated low:", "- (none)"
+UNKNOWN_TITLE, UNTITLED = "(unknown)", "(untitled)"
+STATE_LABELS = ("Shopper history", "Candidate product")
+QUERY_INSTRUCTION = "Given a product search query, retrieve products that match what the shopper asks for"
+
+
 def collapse(c: Column) -> Column:
     """Runs of Unicode white space become one space; none at the ends."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")
@@ -100,17 +107,34 @@ def build_profiles(history: DataFrame, items: DataFrame, most: int = schemas.PRO
     kept = history.withColumn("slot", slot).where("slot is not null").withColumn("r", F.row_number().over(order))
     kept = kept.where(F.col("r") <= F.when(F.col("slot") == "liked", max_liked).otherwise(max_disliked)).join(items.select("item_id", "title", "attrs"), "item_id", "left")
     attrs = F.array_join(F.slice(F.coalesce("attrs", F.array().cast("array<string>")), 1, 2), "; ")
-    line = F.concat(F.lit("- "), F.coalesce("title", F.lit("(unknown)")), F.lit(" (rated "), general(F.col("rating")), F.lit(")"), F.when(attrs != "", F.concat(F.lit(" | "), attrs)).otherwise(""))
+    line = F.concat(F.lit("- "), F.coalesce("title", F.lit(UNKNOWN_TITLE)), F.lit(" (rated "), general(F.col("rating")), F.lit(")"), F.when(attrs != "", F.concat(F.lit(" | "), attrs)).otherwise(""))
     own = lambda s: F.sort_array(F.collect_list(F.when(F.col("slot") == s, F.struct("r", line.alias("line")))))
     both = kept.groupBy("user_id").agg(own("liked").alias("l"), own("disliked").alias("d"))
     out = n_prior.join(both, "user_id", "left")
     lines = lambda c: F.array_join(F.transform(F.coalesce(c, F.expr("cast(array() as array<struct<r:int,line:string>>)")), lambda x: x["line"]), "\n")
-    text = F.concat(F.lit("Items this shopper rated highly:\n"), lines("l"), F.lit("\nItems this shopper rated low:\n"), F.coalesce(F.nullif(lines("d"), F.lit("")), F.lit("- (none)")))
+    text = F.concat(F.lit(HIGH + "\n"), lines("l"), F.lit(f"\n{LOW}\n"), F.coalesce(F.nullif(lines("d"), F.lit("")), F.lit(NONE)))
     count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
     return out.withColumn("c", cut(text, most)).select("user_id", "n_prior", count("l").alias("n_liked"), count("d").alias("n_disliked"), F.col("c.truncated").alias("profile_truncated"), F.col("c.text").alias("text"))
 
 
-def query_prompt(instruction: str) -> str:
+def title_or_default(title: Column) -> Column:
+    """An item's title, '(untitled)' if it has none."""
+    return F.coalesce(F.nullif(title, F.lit("")), F.lit(UNTITLED))
+
+
+def decision_state(profile: Column, item: Column, labels: tuple[str, str] = STATE_LABELS) -> Column:
+    """What a decision model is shown about one candidate: the profile, then the candidate's text, each under its label."""
+    return F.concat(F.lit(labels[0] + "\n"), profile, F.lit(f"\n\n{labels[1]}\n"), item, F.lit("\n"))
+
+
+def decision_state_of_many(profile: Column, items: Column, labels: tuple[str, str] = STATE_LABELS) -> Column:
+    """The same about an array of (item_id, text) at once, each under its id in brackets."""
+    listed = F.array_join(F.transform(items, lambda x: F.concat(F.lit("["), x["item_id"].cast("string"), F.lit("]\n"), x["text"])), "\n\n")
+    return F.concat(F.lit(labels[0] + "\n"), profile, F.lit(f"\n\n{labels[1]}s\n"), listed, F.lit("\n"))
+
+
+def query_prompt(instruction: str = QUERY_INSTRUCTION) -> str:
+    """The query's part of an embedding prompt; documents get none."""
     return f"Instruct: {instruction}\nQuery:"
 
 

@@ -103,11 +103,32 @@ def with_retries(ask: Callable[[], object], most: int = 5, base: float = 0.5, ca
     raise AssertionError("unreachable")
 
 
-def decision_scorer(backend: Callable[[dict, list[dict]], list[float]], questions: int = 64, concurrency: int = 8, **retry: object) -> Callable[[dict, list[dict]], list[float]]:
+#: Most questions of one request.
+MOST_QUESTIONS = 64
+
+
+def check_status(status: int, body: object = None) -> None:
+    """Pass 200; overload and server errors may be tried again, anything else is final."""
+    if status in (429, 529) or status >= 500:
+        raise RetryableError(f"status {status}")
+    if status != 200:
+        raise RuntimeError(f"status {status}: {body}")
+
+
+def pinned(version: str) -> str:
+    """A model version that names one model; an alias of whatever is latest is refused."""
+    if version.endswith("latest"):
+        raise ValueError(f"{version} is an alias; pin a version")
+    return version
+
+
+def decision_scorer(backend: Callable[[dict, list[dict]], list[float]], questions: int = MOST_QUESTIONS, concurrency: int = 8, **retry: object) -> Callable[[dict, list[dict]], list[float]]:
     """A scorer that asks a decision backend about at most `questions` candidates a request, several at once.
 
     A request that fails for good makes its candidates NaN.
     """
+    if not 0 < questions <= MOST_QUESTIONS:
+        raise ValueError(f"1 to {MOST_QUESTIONS} questions a request")
 
     def ask(user: dict, chunk: list[dict]) -> list[float]:
         try:

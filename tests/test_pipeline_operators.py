@@ -352,3 +352,20 @@ def test_first_users(spark):
     df = spark.createDataFrame([(u, k) for u in "cab" for k in range(2)], "user_id string, k int")
     assert {r.user_id for r in scorers.first_users(df, 2).collect()} == {"a", "b"} and scorers.first_users(df, None).count() == 6
     assert scorers.build("l1_order")(df.select("user_id", F.col("k").alias("rank"), F.lit("i").alias("item_id"))).count() == 6
+
+
+def test_prompts_and_status_rules(spark):
+    assert one(spark, text.decision_state(F.col("a"), F.col("b")), a="P", b="I") == "Shopper history\nP\n\nCandidate product\nI\n"
+    many = F.array(F.struct(F.lit(1).alias("item_id"), F.lit("x").alias("text")), F.struct(F.lit(2).alias("item_id"), F.lit("y").alias("text")))
+    assert one(spark, text.decision_state_of_many(F.col("a"), many), a="P") == "Shopper history\nP\n\nCandidate products\n[1]\nx\n\n[2]\ny\n"
+    assert one(spark, text.title_or_default(F.col("a")), a="") == "(untitled)"
+    scorers.check_status(200)
+    for status in (429, 500, 529):
+        with pytest.raises(scorers.RetryableError):
+            scorers.check_status(status)
+    with pytest.raises(RuntimeError):
+        scorers.check_status(404)
+    with pytest.raises(ValueError):
+        scorers.pinned("m-latest")
+    with pytest.raises(ValueError):
+        scorers.decision_scorer(lambda u, c: [], questions=65)
