@@ -16,10 +16,14 @@ from ..storage import drop_stored, shared_dir, stored  # noqa: F401
 BLOCK_BYTES = 2 << 20
 
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets (one more than rows) of a string column; null is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
+    """UTF-8 bytes and offsets (one more than rows) of a string column, not copied; null is empty."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    held, data = column.buffers()[1:]
+    if not len(column) or held is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(held, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_join, stored
+from .common import blocks, skew_join, stored
 
 #: Notices by which licences are known (fixed values: usual short forms and opening clauses).
 TEMPLATES = (
@@ -35,7 +35,7 @@ LEAST_COSINE, WINDOW_LINES = 0.75, 3
 #: Names of licence files, whose verdict their directory hands down.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.].*)?$"
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-_HINT = re.compile(r"licen[cs]|copyright|permission|redistribut|public license|cc0|cc by|mit\b|gnu\b|mozilla|apache", re.IGNORECASE)
+_HINT = re.compile(rb"licen[cs]|copyright|permission|redistribut|public license|cc0|cc by|(?:under|the|:)\s+mit\b|gnu\b|mozilla|apache", re.IGNORECASE)
 
 
 class Templates:
@@ -70,12 +70,11 @@ class Templates:
 
     def scan(self, text: str) -> tuple[str | None, float]:
         """The best match of any window of lines near a hint, or none below LEAST_COSINE."""
-        if not _HINT.search(text):
-            return None, 0.0
         lines = [x for x in text.split("\n") if x.strip()]
+        hinted = [bool(_HINT.search(x.encode())) for x in lines]
         top = (0.0, "")
-        for i, line in enumerate(lines):
-            if not _HINT.search(line):
+        for i in range(len(lines)):
+            if not hinted[i]:
                 continue
             for at in range(max(0, i - WINDOW_LINES + 1), i + 1):
                 for to in range(i + 1, min(len(lines), at + WINDOW_LINES) + 1):
@@ -91,7 +90,11 @@ def scan_files(files: DataFrame, id_col: str = "doc_id", path_col: str = "path",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates()
         for batch in batches:
-            found = [known.scan(t or "") for t in batch.column(2).to_pylist()]
+            found = []
+            for _, data, offsets in blocks(batch.column(2)):
+                raw = data.tobytes()
+                own = (raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+                found += [known.scan(t.decode()) if _HINT.search(t) else (None, 0.0) for t in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "path", "own_license", "cosine"])
 
     kind = files.schema[id_col].dataType.simpleString()
