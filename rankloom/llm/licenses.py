@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,73 +25,175 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright under CC0 1.0."),
 )
-#: Least cosine of a match; lines that a window joins at most.
-LEAST_COSINE, WINDOW_LINES = 0.75, 3
+#: Names as SPDX writes them, the GNU ones also with -only and -or-later; licences whose whole text is in licence_texts/.
+SPDX = ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")
+WHOLE = ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0")
+#: Least cosine of a match; that at which a whole text goes before notices and opening clauses; lines that a window joins at most.
+LEAST_COSINE, SURE_COSINE, WINDOW_LINES = 0.75, 0.9, 3
+#: Templates of up to so many tokens are looked for near hints only; text on either side of a hint, in template lengths.
+SHORT, REACH = 400, 3
 #: Names of licence files, whose verdict their directory hands down.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.].*)?$"
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _HINT = re.compile(rb"licen[cs]|copyright|permission|redistribut|public license|cc0|cc by|(?:under|the|:)\s+mit\b|gnu\b|mozilla|apache", re.IGNORECASE)
 
 
+@cache
+def every_template() -> tuple[tuple[str, str], ...]:
+    """Notices and opening clauses, SPDX lines, and whole texts."""
+    tags = [(name, f"SPDX-License-Identifier: {name}{end}") for name in SPDX for end in (("", "-only", "-or-later") if "GPL" in name else ("",))]
+    return (*TEMPLATES, *tags, *((name, pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()) for name in WHOLE))
+
+
 class Templates:
     """Templates as unit TF-IDF vectors. A token of no template has the weight of the rarest."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
-        tokens = [(name, Counter(_TOKEN.findall(text.lower()))) for name, text in templates]
+    def __init__(self, templates: tuple[tuple[str, str], ...] | None = None):
+        texts = every_template() if templates is None else templates
+        tokens = [(name, Counter(_TOKEN.findall(text.lower()))) for name, text in texts]
         n = len(tokens)
         df = Counter(t for _, c in tokens for t in c)
         self.idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
         self.rarest = math.log(1 + n) + 1
         self.index: dict[str, list[tuple[int, float]]] = {}
         self.names = [name for name, _ in tokens]
+        self.lengths = [sum(c.values()) for _, c in tokens]
+        self.chars = [len(text) for _, text in texts]
+        self.whole = [k > SHORT or text.count("\n\n") > 1 for k, (_, text) in zip(self.lengths, texts, strict=True)]
+        self.ids = {t: k for k, t in enumerate(df)}
+        self.id_idf = np.array([*self.idf.values(), self.rarest])
+        self.gain = np.zeros((n, len(df) + 1))  # what one token adds to the dot product; the last is of no template
         for i, (_, counts) in enumerate(tokens):
             weights = {t: k * self.idf[t] for t, k in counts.items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
             for t, w in weights.items():
                 self.index.setdefault(t, []).append((i, w / norm))
+                self.gain[i, self.ids[t]] = self.idf[t] * w / norm
+
+    def rank(self, i: int, cosine: float) -> tuple[bool, float, str]:
+        """The order of matches, best first: whole texts that are sure, the cosine, the name."""
+        return not (self.whole[i] and cosine >= SURE_COSINE), -cosine, self.names[i]
 
-    def best(self, text: str) -> tuple[float, str]:
-        """The highest cosine and its licence; of equal ones the first name."""
-        counts = Counter(_TOKEN.findall(text.lower()))
+    def best(self, tokens: list[str]) -> tuple[bool, float, str]:
+        """The first match of these tokens as a whole, by rank."""
+        counts = Counter(tokens)
         norm = math.sqrt(sum((k * self.idf.get(t, self.rarest)) ** 2 for t, k in counts.items()))
         dots: dict[int, float] = {}
         for t, k in counts.items():
             for i, w in self.index.get(t, ()):
                 dots[i] = dots.get(i, 0.0) + k * self.idf[t] * w
-        if not dots:
-            return 0.0, ""
-        cosine, name = min((-round(d / norm, 9), self.names[i]) for i, d in dots.items())
-        return -cosine, name
+        return min((self.rank(i, round(d / norm, 9)) for i, d in dots.items()), default=_NONE)
+
+    def slide(self, tokens: list[str], chosen: list[int]) -> tuple[bool, float, str]:
+        """The first match by rank of any window of the length of a chosen template, against that template.
+
+        Dot products are differences of running sums. The squared norm changes by idf**2 (2 k + 1) as a token
+        enters or leaves that stands k more times in the window; k comes from the token's sorted places.
+        """
+        own: dict[str, int] = {}
+        ids = np.array([self.ids.get(t, -1) for t in tokens])
+        for at in np.flatnonzero(ids < 0).tolist():
+            ids[at] = own.setdefault(tokens[at], len(self.ids) + len(own))
+        n, known = len(ids), np.minimum(ids, len(self.ids))
+        square = self.id_idf[known] ** 2
+        order = np.argsort(ids, kind="stable")
+        keys = ids[order] * (n + 1) + order
+        nth = np.arange(n)
+        top = _NONE
+        for length in sorted({min(n, self.lengths[i]) for i in chosen}):
+            enters, leaves = np.empty(n), np.empty(n)
+            enters[order] = nth - np.searchsorted(keys, ids[order] * (n + 1) + np.maximum(order - length + 1, 0))
+            leaves[order] = np.searchsorted(keys, ids[order] * (n + 1) + np.minimum(order + length, n)) - nth - 1
+            plus, minus = np.cumsum(square * (2 * enters + 1)), np.cumsum(square * (2 * leaves + 1))
+            norms = plus[length - 1 :] - np.concatenate([[0.0], minus[: n - length]])
+            norms = np.sqrt(np.maximum(norms, 1e-6))
+            for i in chosen:
+                if min(n, self.lengths[i]) != length:
+                    continue
+                total = np.concatenate([[0.0], np.cumsum(self.gain[i][known])])
+                cosines = (total[length:] - total[: n - length + 1]) / norms
+                at = int(np.argmax(cosines))
+                if cosines[at] >= LEAST_COSINE - 1e-6:
+                    top = min(top, self.rank(i, self.cosine(tokens[at : at + length], i)))
+        return top
+
+    def cosine(self, tokens: list[str], i: int) -> float:
+        """The cosine of tokens and template i, without running sums."""
+        counts = Counter(tokens)
+        norm = math.sqrt(sum((k * self.idf.get(t, self.rarest)) ** 2 for t, k in counts.items()))
+        return round(float(sum(k * self.gain[i, self.ids[t]] for t, k in counts.items() if t in self.ids)) / norm, 9)
 
     def scan(self, text: str) -> tuple[str | None, float]:
-        """The best match of any window of lines near a hint, or none below LEAST_COSINE."""
+        """The best match near a hint, or none below LEAST_COSINE.
+
+        Windows are of whole lines, and of as many tokens as each template has, wherever they begin: the first
+        find notices with a line of their own, the second those inside longer lines and across lines.
+        """
         lines = [x for x in text.split("\n") if x.strip()]
         hinted = [bool(_HINT.search(x.encode())) for x in lines]
-        top = (0.0, "")
+        tokens = {}
+        top = _NONE
         for i in range(len(lines)):
             if not hinted[i]:
                 continue
             for at in range(max(0, i - WINDOW_LINES + 1), i + 1):
                 for to in range(i + 1, min(len(lines), at + WINDOW_LINES) + 1):
-                    found = self.best("\n".join(lines[at:to]))
-                    if (-found[0], found[1]) < (-top[0], top[1]):
-                        top = found
-        return (top[1], top[0]) if top[0] >= LEAST_COSINE else (None, 0.0)
+                    for k in range(at, to):
+                        if k not in tokens:
+                            tokens[k] = _TOKEN.findall(lines[k].lower())
+                    top = min(top, self.best([t for k in range(at, to) for t in tokens[k]]))
+        raw = text.encode()
+        hints = [m.start() for m in _HINT.finditer(raw)]
+        for long in (False, True):
+            chosen = [i for i, k in enumerate(self.lengths) if (k > SHORT) == long]
+            reach = REACH * max((self.chars[i] for i in chosen), default=0)
+            for a, b in regions(hints, reach, len(raw)):
+                near = _TOKEN.findall(raw[a:b].decode("utf-8", "ignore").lower())
+                if near:
+                    top = min(top, self.slide(near, chosen))
+        return (top[2], -top[1]) if -top[1] >= LEAST_COSINE else (None, 0.0)
+
+
+_NONE = (True, 0.0, "")
+
+
+def regions(hints: list[int], reach: int, end: int) -> list[tuple[int, int]]:
+    """Spans of reach on either side of each place, joined where they meet."""
+    out: list[tuple[int, int]] = []
+    for h in hints:
+        a, b = max(0, h - reach), min(end, h + reach)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+@cache
+def every() -> Templates:
+    """The templates, once a process."""
+    return Templates()
 
 
 def scan_files(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(doc_id, path, own_license, cosine) for every file: the licence that its whole text states, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates()
+        known = every()
         for batch in batches:
             found = []
             for _, data, offsets in blocks(batch.column(2)):

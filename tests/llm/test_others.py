@@ -51,6 +51,30 @@ def test_license_scores():
     assert t.scan(wrapped)[0] == "GPL-3.0"
 
 
+def test_licenses_inside_long_lines():
+    t = licenses.Templates()
+    before, after = "The sky was blue. We went to the market and bought bread. Nobody said a word on the way back. ", " And so they went home."
+    for name, text in licenses.every_template():
+        one_line = " ".join(text.split())
+        if name != "BSD-2-Clause" or t.lengths[t.names.index(name)] > 10:  # the opening clause of both is one
+            assert t.scan(before + one_line + after)[0] == name, text[:80]
+    assert t.scan("x = 1  # SPDX-License-Identifier: MIT") == ("MIT", 1.0)
+    assert t.scan("SPDX-License-Identifier: ISC") == (None, 0.0)
+
+
+def test_sliding_windows_equal_brute_force():
+    t = licenses.Templates()
+    rnd = random.Random(5)
+    words = "the license version 2.0 3 of mit gnu general public you may terms apache xx yy".split()
+    for _ in range(60):
+        tokens = [rnd.choice(words) for _ in range(rnd.randint(1, 60))]
+        chosen = [i for i, k in enumerate(t.lengths) if k <= 45]
+        windows = [(tokens[a : a + min(len(tokens), t.lengths[i])], i) for i in chosen for a in range(len(tokens) - min(len(tokens), t.lengths[i]) + 1)]
+        want = min(t.rank(i, t.cosine(w, i)) for w, i in windows)
+        got = t.slide(tokens, chosen)
+        assert got == want if -want[1] >= licenses.LEAST_COSINE else got[2] == ""
+
+
 def test_license_inheritance(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [(1, "LICENSE", mit, 0), (2, "a/COPYING.txt", apache, 0), (3, "a/b/c/x.py", "code", 0), (4, "x.py", None, 0), (5, "z/y.py", apache, 0), (6, "z/w.py", "", 0), (7, None, "code", 0), (8, "d/LICENSE", "all rights reserved", 0), (9, "d/e.py", "code", 0), (3, "a/b/c/x.py", "code", 0), (10, "a/NOTICE", mit, 0)]
