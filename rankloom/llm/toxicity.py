@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import blocks, code_points, runs
 from .langid import fold
 
-#: Labelled rows that the lexicon and the weights are fitted on, at about most; terms of the lexicon; of these, matched with one edit.
-TRAIN_ROWS, TERMS, FUZZY_TERMS = 20_000, 400, 100
+#: Labelled rows that the lexicon and the weights are fitted on, at about most; terms that share one table.
+TRAIN_ROWS, TABLE_TERMS = 20_000, 100
 #: Labelled texts with a term's one-edit matches from which they are judged for themselves.
 FEW = 5
 #: The least log-likelihood ratio of a term: chance reaches it once in e**14, about a million, words.
@@ -66,13 +66,14 @@ class Automaton:
     """The deterministic intersection of the lexicon's trie with Levenshtein automata of its terms.
 
     A state is the set of (trie node, edits so far, character owed by a transposition); edits are insertions,
-    deletions, substitutions and transpositions of neighbours. Terms below FUZZY_TERMS in order and not too
-    short admit one edit, the rest none. States are built from the trie alone, so matching a word costs one
+    deletions, substitutions and transpositions of neighbours. Terms below fuzzy in order (all, if it is not
+    given) and not too short admit one edit, the rest none. States are built from the trie alone, so matching a word costs one
     table look-up a character whatever the lexicon's size.
     """
 
-    def __init__(self, terms: list[str], fuzzy: int = FUZZY_TERMS):
+    def __init__(self, terms: list[str], fuzzy: int | None = None):
         self.terms = terms
+        fuzzy = len(terms) if fuzzy is None else fuzzy
         children: list[dict[str, int]] = [{}]
         ends: list[int | None] = [None]
         soft = [False]  # may a term below this node be matched with an edit?
@@ -157,11 +158,29 @@ class Automaton:
         return out
 
 
+class Lexicon:
+    """All terms, however many: an automaton for each block of TABLE_TERMS, so tables grow with the terms' number."""
+
+    def __init__(self, terms: list[str], block: int = TABLE_TERMS):
+        self.terms, self.block = terms, block
+        self.tables = [Automaton(terms[at : at + block]) for at in range(0, len(terms), block)]
+
+    def match(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """As one automaton of all terms would: an exact match first, then the better term."""
+        out = np.full(len(starts), -1, np.int32)
+        for k, table in enumerate(self.tables):
+            found = table.match(low, starts, ends)
+            found = np.where(found >= 0, found + 2 * k * self.block, -1)
+            better = (found >= 0) & ((out < 0) | (found % 2 < out % 2))  # later blocks' terms are no better
+            out = np.where(better, found, out)
+        return out
+
+
 @dataclass
 class Model:
     """Terms with their weights (exact, one edit), weights of contexts, and the score's scale."""
 
-    automaton: Automaton
+    automaton: Automaton | Lexicon
     weights: np.ndarray
     context: dict[int, float] = field(default_factory=lambda: {k: 1.0 for k in PRIOR})
     slope: float = 1.0
@@ -218,8 +237,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "
     return texts.join(F.broadcast(chosen), id_col).select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def _word_counts(train: DataFrame) -> list[tuple[str, int, int]]:
-    """(word, toxic contexts, clean texts) of the words that stand most often in toxic texts, net of clean ones.
+def _word_counts(train: DataFrame, rate: float) -> list[tuple[str, int, int]]:
+    """(word, toxic contexts, clean texts) of the words whose toxic contexts are too many for chance at this rate.
 
     A toxic text counts by the two neighbours of the word's first place in it, and equal neighbours count
     once: copies and near copies of one toxic text say no more of its words than the text itself.
@@ -254,7 +273,10 @@ def _word_counts(train: DataFrame) -> list[tuple[str, int, int]]:
     counted = counted.groupBy("word").agg(F.count("context").alias("toxic"), F.sum("clean").alias("clean"))
     # Ordered by how often a word speaks for a toxic label, and how clearly; ties by the word.
     gain = F.expr("toxic * ln((toxic + 0.5) / (clean + 0.5))")
-    return [tuple(r) for r in counted.where("toxic >= 3 and toxic > clean / 4").orderBy(F.desc(gain), "word").limit(20 * TERMS).collect()]
+    # No rank cuts them: TRAIN_ROWS bounds the text. SURE is asked for with some slack, and exactly by the caller.
+    counted = counted.withColumn("clean", F.coalesce("clean", F.lit(0))).where("toxic >= 3 and toxic > clean / 4")
+    surprise = F.expr(f"toxic * ln(toxic / (toxic + clean) / {rate!r}D) + if(clean = 0, 0D, clean * ln(clean / (toxic + clean) / {1 - rate!r}D))")
+    return [tuple(r) for r in counted.where(surprise > SURE - 0.01).orderBy(F.desc(gain), "word").collect()]
 
 
 def _surprise(toxic: int, clean: int, rate: float) -> float:
@@ -312,11 +334,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         n = [sum(v for k, v in totals.items() if not k), sum(v for k, v in totals.items() if k)]
         base = math.log((n[1] + 0.5) / (n[0] + 0.5)) if sum(n) else -2.0
         if not n[0] or not n[1]:
-            return Model(Automaton([]), np.zeros(0), slope=0.0, bias=base)
+            return Model(Lexicon([]), np.zeros(0), slope=0.0, bias=base)
         log_odds = lambda a, b: math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
-        scored = [(w, log_odds(a, b)) for w, a, b in _word_counts(train) if _surprise(a, b, n[1] / sum(n)) > SURE]
-        chosen = [(w, s) for w, s in scored if s >= 1.5 and all(ord(c) < 1 << 16 for c in w)][:TERMS]
-        model = Model(Automaton([w for w, _ in chosen]), np.array([x for _, s in chosen for x in (s, 0.6 * s)]))
+        scored = [(w, log_odds(a, b)) for w, a, b in _word_counts(train, n[1] / sum(n)) if _surprise(a, b, n[1] / sum(n)) > SURE]
+        chosen = [(w, s) for w, s in scored if s >= 1.5 and all(ord(c) < 1 << 16 for c in w)]
+        model = Model(Lexicon([w for w, _ in chosen]), np.array([x for _, s in chosen for x in (s, 0.6 * s)]))
         found = _signals(train, model)
     finally:
         train.unpersist()
@@ -359,7 +381,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, score) for every row of docs: how likely its whole text is toxic, from 0 to 1.
 
     Null and empty texts have no evidence and get the base score. Repeated rows stay repeated; other columns
-    are ignored; an empty table gives none. The model is broadcast: its size is bounded by TERMS.
+    are ignored; an empty table gives none. The model is broadcast: its size grows with the terms that TRAIN_ROWS
+    texts yield, not with docs.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -36,6 +36,29 @@ def test_automaton_equals_edit_distance():
         assert found == (-1 if best is None else 2 * best[1] + best[0]), w
 
 
+def test_every_term_is_matched_with_an_edit():
+    rnd = random.Random(3)
+    terms = sorted({"".join(rnd.choice("abcdeiorstu") for _ in range(rnd.randint(4, 9))) for _ in range(530)})
+    rnd.shuffle(terms)
+    words = [w[:i] + w[i + 1 :] for w in terms[380:] for i in (1,)] + terms
+    got = match(t.Lexicon(terms), words)
+    for w, found in zip(words, got, strict=True):
+        assert found == min(((near(x, w), k) for k, x in enumerate(terms) if abs(len(x) - len(w)) < 2 and near(x, w) < 2), default=(0, 0))[1] * 2 + (w not in terms), w
+
+
+def test_no_term_is_cut_by_rank(spark):
+    rnd = random.Random(4)
+    name = lambda k: "q" + "".join("bcdfgklmnp"[int(c)] for c in f"{k:05d}")
+    rows = []
+    for _ in range(10):  # each term in ten toxic texts, ten terms a text
+        dealt = rnd.sample(range(450), 450)
+        rows += [(len(rows) + j, " ".join(f"{name(k)} z{rnd.randint(0, 10**9)}" for k in dealt[j * 10 : j * 10 + 10]), "en", "a", 1) for j in range(45)]
+    rows += [(450 + j, f"{rnd.random():.9f} plain words", "en", "a", 1) for j in range(4500)]
+    labels = [(r[0], 1, int(r[0] < 450)) for r in rows]
+    found = set(t.learn(cases.docs(spark, rows), cases.labels(spark, labels), most=50_000).automaton.terms)
+    assert len({name(k) for k in range(450)} & found) > 400
+
+
 def test_context(spark):
     import numpy as np
 
