@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,6 +32,10 @@ PLAIN, QUOTED, DIRECTED = 0, 1, 2
 #: Pseudo-counts (toxic, clean) of the contexts before any labelled match is seen.
 PRIOR = {PLAIN: (9.0, 1.0), QUOTED: (1.0, 3.0), DIRECTED: (9.0, 0.5)}
 _QUOTES = "\"“”„«»‘’'`"
+#: Marks that pair with each other; what a mark opens or closes if its neighbours do not tell ('"' does the other of the last).
+_FAMILY = {c: k for k, group in enumerate(('"“”„', "«»", "‘’'`")) for c in group}
+_OPENS, _CLOSES, _SINGLE = "“„«‘", "”»", 2
+_MARK = re.compile(r"[\"“”„«»‘’'`\n]|[.!?](?=\s)")
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -192,9 +197,14 @@ class Model:
         found = self.automaton.match(low, starts, ends)
         at = np.flatnonzero(found >= 0)
         rows = np.searchsorted(first, at, "right") - 1
+        rows_at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets] if len(at) else offsets
+        spans: dict[int, list[tuple[int, int]]] = {}
         for w, row in zip(at.tolist(), rows.tolist(), strict=True):
             a, b = max(int(first[row]), w - CONTEXT), min(int(first[row + 1]), w + CONTEXT + 1)
-            yield row, int(found[w]), context_of(points, low, starts[a:b], ends[a:b], w - a)
+            if row not in spans:
+                spans[row] = quotations(text_of(points[rows_at[row] : rows_at[row + 1]]))
+            place = int(starts[w] - rows_at[row])
+            yield row, int(found[w]), context_of(points, low, starts[a:b], ends[a:b], w - a, any(s < place < e for s, e in spans[row]))
 
     def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Each row's evidence: for every kind of match its weight, its best context, and its count's logarithm."""
@@ -210,12 +220,50 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.bias, -30, 30)))
 
 
-def context_of(points: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: int) -> int:
-    """QUOTED if the match stands within quotation marks or near a reporting word, DIRECTED near a word of address."""
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Places of the opening and closing mark of every quotation.
+
+    A mark opens after a space and before none, and closes the other way round; in other places its kind tells,
+    and apostrophes within words do nothing. A closing mark pairs with the last opening one of its family in the
+    paragraph, for single marks in the sentence. A mark without its fellow quotes nothing.
+    """
+    out: list[tuple[int, int]] = []
+    last: dict[int, int] = {}
+    for m in _MARK.finditer(text):
+        c, at = m.group(), m.start()
+        if c == "\n":
+            last.clear()
+        elif c in ".!?":
+            last.pop(_SINGLE, None)
+        if c not in _FAMILY:
+            continue
+        family, before, after = _FAMILY[c], text[at - 1 : at], text[at + 1 : at + 2]
+        free_before = not before or before.isspace() or before in "([{—–-" or before in _FAMILY
+        free_after = not after or after.isspace() or after in ".,;:!?)]}…—–-" or after in _FAMILY
+        if c == "„":
+            opens, closes = True, False
+        elif free_before != free_after:
+            opens, closes = free_before and c != "’", free_after
+        elif family == _SINGLE and not free_before and c != "‘":
+            continue
+        else:
+            opens, closes = c in _OPENS, c in _CLOSES
+            if not opens and not closes:
+                closes = family in last
+                opens = not closes
+        if closes and family in last:
+            out.append((last.pop(family), at))
+        elif opens:
+            last[family] = at
+    return out
+
+
+def context_of(points: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: int, inside: bool = False) -> int:
+    """QUOTED if the match stands within quotation marks (inside: of several words) or near a reporting word, DIRECTED near a word of address."""
     near = {text_of(low[s:e]) for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)) if i != w}
     before = text_of(points[max(0, int(starts[w]) - 2) : int(starts[w])])
     after = text_of(points[int(ends[w]) : int(ends[w]) + 2])
-    if any(c in _QUOTES for c in before) and any(c in _QUOTES for c in after) or near & _REPORTING:
+    if inside or any(c in _QUOTES for c in before) and any(c in _QUOTES for c in after) or near & _REPORTING:
         return QUOTED
     return DIRECTED if near & _ADDRESSING else PLAIN
 

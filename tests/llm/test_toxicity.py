@@ -73,6 +73,29 @@ def test_context(spark):
     assert of("İ 漢字 you idoit") == [t.DIRECTED]
 
 
+def test_quotations_of_several_words():
+    import numpy as np
+
+    model = t.Model(t.Automaton(["idiot"]), np.array([5.0, 3.0]))
+
+    def of(*texts):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        return [c for _, _, c in model.matches(data, np.cumsum([0, *[len(x.encode()) for x in texts]]))]
+
+    for quoted in (
+        'He shouted "you stupid idiot, go away" at him',
+        "He shouted “you are such a big idiot. Go away, at once, and never come back to us” at him",
+        "Er rief „du bist ein großer idiot, geh weg“ und ging",
+        "Er rief »du bist ein großer idiot, geh weg« und ging",
+        "Il cria « tu es un grand idiot, va » et partit",
+        "He shouted 'you aren't an idiot at all' at him",
+    ):
+        assert of(quoted) == [t.QUOTED], quoted
+    for plain in ('"Go away, you idiot', '"Go away" he cried, you big idiot, "and stay there"', "don't you idiot think it's over", 'a 5" pipe, you idiot', 'the "end\nyou big idiot now\n" of it', "the dogs' you idiot friends' house"):
+        assert of(plain) == [t.DIRECTED], plain
+    assert of('"', "you idiot", '"', 'ö "oh you big idiot there"') == [t.DIRECTED, t.QUOTED]
+
+
 def corpus(n=900):
     rnd = random.Random(11)
     vocabulary = ["".join(rnd.choice("bcdfgklmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(400)]
