@@ -16,6 +16,7 @@ from ..sources.readers import keep_first
 from ..storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: RESAMPLES is that of the bootstrap queries with SQL; their _full forms take schemas.N_RESAMPLES and have none.
 M, RESAMPLES, DIMS = schemas.EVAL_M, 200, 64
 
 
@@ -345,26 +346,22 @@ def _eval_per_user(v: View, *models: str) -> DataFrame:
     return stored(scorers.evaluate(v.runs(*models), v.eval_positives("test")))
 
 
-@query
-def paired_bootstrap(v: View) -> DataFrame:
-    return stats.paired_bootstrap(report.differences(_eval_per_user(v, "l1_order", "random"), "ndcg@10"), RESAMPLES)
+def _paired_bootstrap(v: View, resamples: int) -> DataFrame:
+    return stats.paired_bootstrap(report.differences(_eval_per_user(v, "l1_order", "random"), "ndcg@10"), resamples)
 
 
-@query
-def holm_table(v: View) -> DataFrame:
+def _holm_table(v: View, resamples: int) -> DataFrame:
     per = _eval_per_user(v, "l1_order", "popularity", "random", "flaky")
-    return stats.compare_to_baseline(report.differences(per, "ndcg@10"), RESAMPLES)
+    return stats.compare_to_baseline(report.differences(per, "ndcg@10"), resamples)
 
 
-@query
-def leaderboard(v: View) -> DataFrame:
+def _leaderboard(v: View, resamples: int) -> DataFrame:
     per = _eval_per_user(v, "l1_order", "popularity", "random", "flaky", "oracle")
-    board = report.leaderboard(per, v.cohort("test").agg(F.count("*").alias("n")), n_resamples=RESAMPLES)
+    board = report.leaderboard(per, v.cohort("test").agg(F.count("*").alias("n")), n_resamples=resamples)
     return board.toDF(*[c.replace("@", "_") for c in board.columns])
 
 
-@query
-def leaderboard_graded(v: View) -> DataFrame:
+def _leaderboard_graded(v: View, resamples: int) -> DataFrame:
     pool = v.knn()
     keep = pool.select("query_id", "product_id", F.col("rank").alias("l1_rank"))
     runs = {
@@ -376,10 +373,50 @@ def leaderboard_graded(v: View) -> DataFrame:
     for name, df in runs.items():
         one = df.withColumn("model", F.lit(name))
         every = one if every is None else every.unionByName(one)
-    board = report.graded_leaderboard(stored(metrics.graded_metrics(every, v.qrels(), "model", "query_id")), RESAMPLES)
+    board = report.graded_leaderboard(stored(metrics.graded_metrics(every, v.qrels(), "model", "query_id")), resamples)
     return board.toDF(*[c.replace("@", "_") for c in board.columns])
 
 
+@query
+def paired_bootstrap(v: View) -> DataFrame:
+    return _paired_bootstrap(v, RESAMPLES)
+
+
+@query
+def paired_bootstrap_full(v: View) -> DataFrame:
+    return _paired_bootstrap(v, schemas.N_RESAMPLES)
+
+
+@query
+def holm_table(v: View) -> DataFrame:
+    return _holm_table(v, RESAMPLES)
+
+
+@query
+def holm_table_full(v: View) -> DataFrame:
+    return _holm_table(v, schemas.N_RESAMPLES)
+
+
+@query
+def leaderboard(v: View) -> DataFrame:
+    return _leaderboard(v, RESAMPLES)
+
+
+@query
+def leaderboard_full(v: View) -> DataFrame:
+    return _leaderboard(v, schemas.N_RESAMPLES)
+
+
+@query
+def leaderboard_graded(v: View) -> DataFrame:
+    return _leaderboard_graded(v, RESAMPLES)
+
+
+@query
+def leaderboard_graded_full(v: View) -> DataFrame:
+    return _leaderboard_graded(v, schemas.N_RESAMPLES)
+
+
 @query
 def rating5_sensitivity(v: View) -> DataFrame:
     """Recall of the popularity pool against top-rated positives only."""

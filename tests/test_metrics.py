@@ -1,8 +1,11 @@
+import hashlib
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom import plans
 from rankloom.operators import fusion, metrics, stats
 
 
@@ -89,6 +92,24 @@ def test_bootstrap_tells_a_win_from_noise(spark):
     assert numbers == list(range(500))
 
 
+def test_bootstrap_of_full_size_equals_brute_force(spark):
+    draw = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    diffs = {u: (-1) ** u * u / 7 + 0.2 for u in range(9)}
+    order = sorted(diffs, key=lambda u: (draw("n", u) % 256, u))
+    got = stats.paired_bootstrap(spark.createDataFrame([("m", u, d) for u, d in diffs.items()], "model string, user_id long, diff double")).collect()
+    want = {b: sum(diffs[order[draw(0, b, k) % 9]] for k in range(9)) / 9 for b in range(10_000)}
+    assert len(got) == 10_000 and all(r.mean == pytest.approx(want[r.b], abs=1e-9) for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the provided tables")
+def test_full_queries_take_every_resample(spark):
+    got = plans.QUERIES["paired_bootstrap_full"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.b for r in got) == list(range(10_000))
+    rows = plans.QUERIES["holm_table_full"](spark, "/root/testdata/sf0.001").collect()
+    grid = [r.p * 10_001 / 2 for r in rows if r.p < 1]
+    assert grid and all(abs(x - round(x)) < 0.01 for x in grid) and any(abs(r.p * 201 / 2 - round(r.p * 201 / 2)) > 0.002 for r in rows)
+
+
 def test_numpy_bootstrap():
     mean, boot = stats.numpy_bootstrap([1.0, 2.0], [0.0, 0.0], 50)
     assert mean == 1.5 and boot.shape == (50,)
