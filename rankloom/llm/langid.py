@@ -20,12 +20,12 @@ UNKNOWN = "und"
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point below 2**16: is it a letter; its lower case, where that is one such code point."""
-    letter = np.array([chr(c).isalpha() for c in range(1 << 16)])
-    lower = np.arange(1 << 16, dtype=np.uint32)
+    """For each code point of all planes: is it a letter; its lower case, where that is one code point."""
+    letter = np.array([chr(c).isalpha() for c in range(0x110000)])
+    lower = np.arange(0x110000, dtype=np.uint32)
     for c in np.flatnonzero(letter).tolist():
         low = chr(c).lower()
-        if len(low) == 1 and ord(low) < 1 << 16:
+        if len(low) == 1:
             lower[c] = ord(low)
     return letter, lower
 
@@ -36,22 +36,23 @@ _made: list[np.ndarray] = []
 def grams(data: np.ndarray, offsets: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, n-gram, count) of a block, by row and n-gram.
 
-    Words are runs of letters, lower-cased, with one blank on either side. An n-gram is its code points at
-    16 bits each (letters beyond the basic plane share places by their low bits), so n is 3 at most.
+    Words are runs of letters (of any plane), lower-cased, with one blank on either side. An n-gram is its
+    code points at 21 bits each, so n is 3 at most. For the sort a block's few characters are numbered from 1
+    in their order, so that row and n-gram mostly fit one integer; where they don't, rows are a key apart.
     """
     if not _made:
         _made.extend(_tables())
     letter, lower = _made
     points, rows_at = code_points(data, offsets)
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not len(points):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low = points & 0xFFFF
-    inside = letter[low] | (points > 0xFFFF)
+        return nothing
+    inside = letter[points]
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(rows_at))
     # Kept are letters, and of other characters those before a letter, as one blank.
     last = np.zeros(len(points), bool)
     last[(rows_at[1:] - 1)[np.diff(rows_at) > 0]] = True
-    code = np.where(inside, lower[low], 32).astype(np.uint64)
+    code = np.where(inside, lower[points], 32)
     after = np.concatenate([inside[1:], [False]]) & ~last
     keep = inside | after
     starts = np.zeros(len(points), bool)
@@ -59,27 +60,49 @@ def grams(data: np.ndarray, offsets: np.ndarray, longest: int = LONGEST) -> tupl
     first_letters = np.flatnonzero(starts & inside)
     place = np.cumsum(keep) - 1
     values, rows = code[keep], row[keep].astype(np.uint64)
-    if len(rows):  # a blank before a row's first word, where it begins with a letter, and after its last
-        tail = np.flatnonzero(np.append(rows[1:] != rows[:-1], True))
-        at = np.concatenate([tail + 1, place[first_letters]])
-        own = np.concatenate([rows[tail], row[first_letters].astype(np.uint64)])
-        values, rows = np.insert(values, at, 32), np.insert(rows, at, own)
-    keys = []
+    if not len(rows):
+        return nothing
+    # A blank before a row's first word, where it begins with a letter, and after its last.
+    tail = np.flatnonzero(np.append(rows[1:] != rows[:-1], True))
+    at = np.concatenate([tail + 1, place[first_letters]])
+    own = np.concatenate([rows[tail], row[first_letters].astype(np.uint64)])
+    values, rows = np.insert(values, at, 32), np.insert(rows, at, own)
+    used = np.zeros(0x110000, bool)
+    used[values] = True
+    alphabet = np.concatenate([[0], np.flatnonzero(used)]).astype(np.uint64)
+    values = np.cumsum(used, dtype=np.uint32)[values].astype(np.uint64)
+    blank = int(np.searchsorted(alphabet, 32))
+    width = len(alphabet).bit_length()
+    keys, key_rows = [], []
     for n in range(1, longest + 1):
         m = len(values) - n + 1
         if m <= 0:
             break
         gram = np.zeros(m, np.uint64)
         for j in range(n):
-            gram = (gram << np.uint64(16)) | values[j : j + m]
+            gram = (gram << np.uint64(width)) | values[j : j + m]
         good = rows[:m] == rows[n - 1 :]
         if n == 1:
-            good &= values != 32
-        keys.append((rows[:m][good] << np.uint64(48)) | gram[good])
-    every = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-    heads = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    count = np.diff(np.append(heads, len(every)))
-    return (every[heads] >> np.uint64(48)).astype(np.int64), every[heads] & np.uint64((1 << 48) - 1), count
+            good &= values != blank
+        keys.append(gram[good])
+        key_rows.append(rows[:m][good])
+    gram, owner = np.concatenate(keys), np.concatenate(key_rows)
+    shift = longest * width
+    if shift + (len(offsets) - 1).bit_length() <= 64:
+        every = np.sort((owner << np.uint64(shift)) | gram)
+        owner, gram = every >> np.uint64(shift), every & np.uint64((1 << shift) - 1)
+    else:
+        order = np.lexsort((gram, owner))
+        owner, gram = owner[order], gram[order]
+    if not len(gram):
+        return nothing
+    heads = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])]))
+    count = np.diff(np.append(heads, len(gram)))
+    gram, mask = gram[heads], np.uint64((1 << width) - 1)
+    out = np.zeros(len(gram), np.uint64)
+    for j in reversed(range(longest)):
+        out = (out << np.uint64(21)) | alphabet[(gram >> np.uint64(j * width)) & mask]
+    return owner[heads].astype(np.int64), out, count
 
 
 def _ranked(row: np.ndarray, gram: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -35,8 +35,11 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long. Null text has no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, extra: Column | None = None) -> DataFrame:
+    """(doc_id, fp) for every row; fp is the fingerprint as a signed long. Null text has no words.
+
+    With `extra`, a long, there is a third column of this name that carries it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,10 +47,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at, data, offsets in blocks(batch.column(1)):
                 raw = data.tobytes()
                 out[at : at + len(offsets) - 1] = [fingerprint(raw[s:e], width, seed) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    more = [] if extra is None else [extra.cast("long").alias("extra")]
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
+    return rows.mapInArrow(run, f"doc_id {kind}, fp long" + (", extra long" if more else ""))
 
 
 def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, side: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,6 +178,45 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row, the same in every run; maps are hashed as JSON."""
+    plain = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    return F.xxhash64(*plain)
+
+
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seed: int = 42, tile: int = TILE) -> DataFrame:
+    """One row of each group of near-duplicates (see simhash_groups), all columns: that of the smallest doc_id.
+
+    Groups are of rows, not of ids: rows with a null id or with an id that other texts have too are judged by
+    their own text. Of a group a row with an id goes before one without, then the smaller id, then the smaller
+    hash of the whole row; of rows alike in every column one stays. So exactly one row of each group is left,
+    whatever the partitions. An empty table gives an empty one.
+
+    A row is known by its id and row_hash, so the texts meet one verdict in one exchange; rows that are
+    repeated as a whole take a second one, if there are any.
+    """
+    rows = stored(fingerprints(docs, id_col, text_col, width, seed, row_hash(docs)))
+    alike = rows.groupBy("fp", "doc_id", "extra").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("extra").alias("hash"), "n")
+    distinct = stored(alike.groupBy("fp").agg(F.min(first).alias("first")))
+    roots = connected_components(stored(fingerprint_links(distinct.select("fp"), distinct.count(), radius, tile)))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = stored(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.hash", "first.n"))
+    own = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))  # begins no column of docs
+    keys = chosen.select(F.col("doc_id").alias(f"{own}id"), F.col("hash").alias(f"{own}key"), "n")
+
+    def taken(which: Column) -> DataFrame:
+        mine = docs.withColumn(f"{own}hash", row_hash(docs))
+        same = F.col(f"{own}hash").eqNullSafe(F.col(f"{own}key")) & F.col(f"`{id_col}`").eqNullSafe(F.col(f"{own}id"))
+        return mine.join(keys.where(which).drop("n"), same, "left_semi")
+
+    once = taken(F.col("n") == 1).select(*[f"`{c}`" for c in docs.columns])
+    if not chosen.where("n > 1").head(1):
+        return once
+    many = taken(F.col("n") > 1).dropDuplicates([id_col, f"{own}hash"]).select(*[f"`{c}`" for c in docs.columns])
+    return once.unionByName(many)
+
+
 def hex_fingerprint(fp: str = "fp") -> Column:
     """16 lowercase hexadecimal digits of the unsigned fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

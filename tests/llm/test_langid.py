@@ -11,10 +11,8 @@ from . import cases
 def slow_grams(text):
     words, word = [], ""
     for c in text or "":
-        ok = c.isalpha() and ord(c) < 1 << 16 or ord(c) > 0xFFFF
-        if ok:
-            low = c.lower() if len(c.lower()) == 1 else c
-            word += low if ord(c) < 1 << 16 else chr(ord(c) & 0xFFFF)
+        if c.isalpha():
+            word += c.lower() if len(c.lower()) == 1 else c
         elif word:
             words.append(word)
             word = ""
@@ -28,12 +26,12 @@ def slow_grams(text):
 def number(gram):
     out = 0
     for c in gram:
-        out = out << 16 | ord(c)
+        out = out << 21 | ord(c)
     return out
 
 
 def test_grams_equal_brute_force():
-    texts = ["", "a", "...", "ab, cd!", " É1é ", "Ab\nab", "x" * 5, "漢字 ß", "", "1 2"]
+    texts = ["", "a", "...", "ab, cd!", " É1é ", "Ab\nab", "x" * 5, "漢字 ß", "", "1 2", "😀😀", "𐐀𐐨b 𝒜", "😀a"]
     raw = [t.encode() for t in texts]
     row, gram, count = langid.grams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     for k, t in enumerate(texts):
@@ -41,6 +39,23 @@ def test_grams_equal_brute_force():
         assert got == {number(g): c for g, c in slow_grams(t).items()}, t
 
 
+def test_many_rows_and_characters_in_one_block():
+    """Row and n-gram do not fit one integer: rows past 2**16, and more characters than a few alphabets have."""
+    texts = [chr(0x4E00 + i % 9000) + "ab"[i % 2] for i in range(70_000)]
+    raw = [t.encode() for t in texts]
+    row, gram, count = langid.grams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.bincount(row).tolist() == [2 + 3 + 2] * len(texts) and set(count.tolist()) == {1}
+    for k in (0, 1, 65_535, 65_536, 69_999):
+        assert set(gram[row == k].tolist()) == {number(g) for g in slow_grams(texts[k])}
+
+
+def test_no_letter_is_und(spark):
+    rows = [*corpus(), (9001, "😀😀", "aa", "s", 2), (9002, "١٢٣ 12", None, "s", 1), (9003, "𝒜𝒜", None, "s", 1)]
+    out = {r.doc_id: r for r in langid.op6_rows(cases.docs(spark, rows)).collect()}
+    assert (out[9001].lang_pred, out[9001].score) == ("und", 0.0) == (out[9002].lang_pred, out[9002].score)
+    assert out[9003].lang_pred != "und"
+
+
 def corpus():
     import random
 

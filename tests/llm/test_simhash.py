@@ -96,3 +96,34 @@ def test_no_pair_is_lost_by_tiles():
     assert found == want
     across = {p for x, y in simhash.close_pairs(a[:450], a[450:], 4, 64) for p in zip(x.tolist(), y.tolist(), strict=True)}
     assert across == {(i, j - 450) for i, j in want if i < 450 <= j}
+
+
+def test_kept_loses_no_group(spark):
+    """One row of each group of rows: repeated ids on different texts, null ids, near copies, ties, whole repeats."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(120)) for x in "abc")
+    near = b + " end"
+    rows = [
+        (1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, near, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "t", 1), (None, a, "en", "s", 1),
+        (7, c, "en", "s", 1), (7, c, "en", "s", 1), (3, None, None, None, None), (4, "", "en", "s", 0), (None, "x y", "en", "s", 3), (None, "x y", "en", "s", 3),
+    ]
+    rnd = random.Random(5)
+    for k in range(40):
+        rows.append((rnd.choice([None, *range(20, 32)]), rnd.choice([a, b, c, f"{k % 9} text of its own " + " ".join(f"w{k % 9}{i}" for i in range(60))]), "en", f"s{k % 3}", 5))
+    fps = [slow_fingerprint(r[1]) for r in rows]
+    group = slow_components(list(range(len(rows))), fps)
+    want = {}
+    for r, g in zip(rows, group, strict=True):
+        want.setdefault(g, []).append(r)
+    best = {g: min((r[0] is None, r[0] or 0) for r in members) for g, members in want.items()}
+    first = None
+    for parts in (1, 7):
+        rnd.shuffle(rows)
+        got = [tuple(r)[:5] for r in simhash.kept(cases.docs(spark, rows).repartition(parts)).collect()]
+        by_group = {}
+        for r in got:
+            by_group.setdefault(next(g for g, m in want.items() if r in m), []).append(r)
+        assert sorted(by_group) == sorted(want) and all(len(v) == 1 for v in by_group.values())
+        assert all((v[0][0] is None, v[0][0] or 0) == best[g] for g, v in by_group.items())
+        assert first is None or sorted(got, key=str) == first
+        first = sorted(got, key=str)
+    assert simhash.kept(cases.docs(spark, [])).collect() == []
