@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rankloom.llm import bpe, decontam, quality_rules, simhash, toxicity
 from rankloom.llm.common import stored
@@ -24,16 +23,11 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: that of the smallest doc_id, once if the id is repeated.
+    """One row of each SimHash group: the smallest doc_id's, judged row by row (see simhash.kept).
 
-    Documents without an id cannot be told apart by one and stay.
+    A doc_id on several texts or a null one loses nothing: every group of rows keeps exactly one.
     """
-    groups = stored(simhash.simhash_groups(docs))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(first, "doc_id", "left_semi").select(docs.columns)
-    if groups.agg(F.count("doc_id") > F.countDistinct("doc_id")).first()[0]:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    return simhash.kept(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
