@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import skew_join, stored
 
 #: Share of good documents that the learned cutoffs may reject in any stratum, and the chance that one stratum breaks this.
 ALPHA, DELTA = 0.01, 0.05
@@ -16,33 +16,32 @@ LEVELS = (0.0002, 0.0005, 0.001, 0.0015, 0.002, 0.003, 0.004, 0.005)
 #: Measures of junk, the larger the worse: symbols a word, upper-case letters a word character, share of
 #: words in repeated windows, share of repeated lines, characters a word.
 MEASURES = ("m_symbols", "m_upper", "m_repeat", "m_lines", "m_length")
-#: No cutoff goes below these: a measure up to them is ordinary in good prose, whatever the labelled sample shows.
-FLOORS = (0.1, 0.3, 0.1, 0.2, 10.0)
 #: Base rules (fixed values of the contract).
 LEAST_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
 
-def _repeat_words(words: str, k: int = REPEAT_WINDOW) -> str:
-    """SQL for the number of words in k-word windows that occur twice or more in the array `words`.
+def _windows(words: str, k: int = REPEAT_WINDOW) -> str:
+    """SQL for (n, least) of the array `words`: words in k-word windows that occur twice or more, and the least window hash.
 
     Windows are compared by 64-bit hashes of word hashes. Only a text with a repeated window sorts its
-    windows (n log n, also in a very long text). transform(array(x), v -> ...)[0] names a value once.
+    windows (n log n, also in a very long text). A text of fewer words is one window for `least`, which
+    copies share, and near copies mostly. transform(array(x), v -> ...)[0] names a value once.
     """
     window = ", ".join(f"get(h, i + {j})" for j in range(1, k))
-    return f"""if(size({words}) < {k}, 0L,
+    return f"""if(size({words}) < {k}, named_struct('n', 0L, 'least', xxhash64(array_join({words}, ' '))),
       transform(array(transform({words}, w -> xxhash64(w))), h ->
-        transform(array(transform(slice(h, 1, size(h) - {k - 1}), (x, i) -> xxhash64(x, {window}))), g ->
+        transform(array(transform(slice(h, 1, size(h) - {k - 1}), (x, i) -> xxhash64(x, {window}))), g -> named_struct('n',
           if(size(array_distinct(g)) = size(g), 0L,
             transform(array(sort_array(transform(g, (x, i) -> struct(x, i)))), s ->
               transform(array(sort_array(transform(filter(s, (e, j) -> e.x = get(s, j - 1).x or e.x = get(s, j + 1).x), e -> e.i))), p ->
                 aggregate(transform(p, (x, j) -> if(j = 0, {k}, least({k}, x - get(p, j - 1)))), 0L, (a, x) -> a + x)
-              )[0])[0]))[0])[0])"""
+              )[0])[0]), 'least', array_min(g)))[0])[0])"""
 
 
 def text_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' columns with the base counts and MEASURES of each whole text (null: as an empty text).
+    """docs' columns with the base counts, MEASURES and sketch of each whole text (null: as an empty text).
 
-    n_words, word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words: as the contract of
+    sketch is the least hash of a text's windows, which copies and most near copies share. n_words, word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words: as the contract of
     the query defines them. A column of docs with one of these names is replaced.
     """
     text = f"coalesce(cast(`{text_col}` as string), '')"
@@ -50,7 +49,7 @@ def text_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counts = f"""transform(array({split}), ws -> named_struct(
         'n_words', cast(size(ws) as bigint),
         'word_chars', cast(char_length(array_join(ws, '')) as bigint),
-        'n_repeat_words', {_repeat_words('ws')}))[0]"""
+        'windows', {_windows('ws')}))[0]"""
     lines = f"""transform(array(filter(split({text}, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')), ls -> named_struct(
         'n', size(ls), 'repeated', size(ls) - size(array_distinct(ls))))[0]"""
     out = docs.withColumns({
@@ -65,12 +64,13 @@ def text_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_words": n,
         "word_chars": chars,
         "n_dup_lines": F.col("_lines.repeated").cast("long"),
-        "n_repeat_words": F.col("_words.n_repeat_words"),
+        "n_repeat_words": F.col("_words.windows.n"),
         "m_symbols": ratio(F.col("n_symbols"), n),
         "m_upper": ratio(F.col("_upper"), chars),
-        "m_repeat": ratio(F.col("_words.n_repeat_words"), n),
+        "m_repeat": ratio(F.col("_words.windows.n"), n),
         "m_lines": ratio(F.col("_lines.repeated"), F.col("_lines.n")),
         "m_length": ratio(chars, n),
+        "sketch": F.col("_words.windows.least"),
     }).drop("_words", "_lines", "_upper")
 
 
@@ -87,76 +87,92 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in log))
 
 
-def chosen_level(good: int, rejected: list[int], junk: list[int], alpha: float, delta: float) -> int | None:
-    """The level of a stratum, or None if none is safe.
+def binomial_sql(k: str, n: str, p: float) -> str:
+    """SQL for binomial_cdf: terms from one to the next in logarithms."""
+    first, odds = f"{n} * ln(1 - {p!r}D)", f"ln({p!r}D / (1 - {p!r}D))"
+    term = f"a.l + ln(({n} - i + 1) / i) + {odds}"
+    return f"""case when {k} >= {n} then 1D when {k} < 1 then exp({first}) else aggregate(sequence(1L, {k}),
+      named_struct('l', cast({first} as double), 's', exp({first})), (a, i) -> named_struct('l', {term}, 's', a.s + exp({term})), a -> a.s) end"""
 
-    Fixed-sequence testing from lenient to strict: a level is safe if so few of `good` held-out good documents
-    are rejected that a false rejection rate over alpha would show so few with a chance of delta at most; the
-    first level that fails ends the sequence, so the levels need no correction among themselves. Of the safe
-    levels the most lenient one is taken that catches 99 % of the junk that the best of them catches.
+
+def trials(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """(stratum, sketch, good, values, fit): one row a trial, half of them to fit on and half to test on.
+
+    A trial is a distinct text of a stratum: labelled documents of one sketch, copies and near copies, count
+    once, good only if all of them are, with the measures of the smallest id; so no copy stands on both
+    sides, nor counts twice in a bound. Only documents that pass the base rules take part. A null stratum is
+    one of its own (''); null ids and labels are left out.
     """
-    safe = []
-    for k, x in enumerate(rejected):
-        if not good or binomial_cdf(x, good, alpha) > delta:
-            break
-        safe.append(k)
-    return next((k for k in safe if junk[k] >= 0.99 * junk[safe[-1]]), None)
+    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg((F.min("quality") > 0).alias("good"))
+    rows = measured.where(~base_failed()).select(id_col, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "sketch", F.array(*MEASURES).alias("values"))
+    met = rows.join(known, id_col).groupBy("stratum", "sketch").agg(F.min("good").alias("good"), F.min(F.struct(id_col, "values"))["values"].alias("values"))
+    return met.withColumn("fit", F.pmod(F.xxhash64("sketch", F.lit(29)), F.lit(2)) == 0)
 
 
-def learn_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> dict[str, list[float]]:
-    """Cutoffs of MEASURES for each stratum in which some are safe.
+def learn_cutoffs(rows: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, cuts, certified, n_good, rejected) from trials: the cutoffs of MEASURES that a stratum's labels prove.
 
-    Labelled documents that pass the base rules are split in two by a hash of the id: on one half the
-    quantiles of the good ones propose cutoffs for every level, on the other half the exact binomial bound
-    is tested. delta is shared out evenly over the strata (Bonferroni), so with chance 1 - delta no stratum
-    loses more than alpha of its good documents to the rules. The driver gets a row for each stratum.
+    On the fitting half every measure gets a cutoff: of the quantiles of good texts at LEVELS the most
+    lenient one that catches 99 % of the junk that the strictest does; measures that catch none get none.
+    Measures in the order of the junk they catch make a path of rules, each rejecting what the one before
+    does and more. On the testing half the path is walked while the exact binomial bound holds: a false
+    rejection rate over alpha would show so few rejected good texts with a chance of delta at most (fixed
+    sequence, so the steps need no correction among themselves); delta is shared out evenly over the strata
+    (Bonferroni). So with chance 1 - delta no stratum loses more than alpha of its good texts. cuts has a
+    number or null for each measure, certified how many are proven, rejected the good texts they reject.
 
-    A null stratum is one of its own (''); a doc_id labelled twice is good only if every label says so; null
-    labels are left out; a stratum with too few labels gets no cutoffs.
+    A row for each stratum with a good fitting text; nothing comes to the driver. Strata with very many rows
+    are split (skew_join).
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg((F.min("quality") > 0).alias("good"))
-    rows = measured.where(~base_failed()).select(id_col, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *MEASURES)
-    rows = stored(rows.join(known, id_col).withColumn("fit", F.pmod(F.xxhash64(id_col, F.lit(29)), F.lit(2)) == 0))
+    n, total = len(MEASURES), rows.count()
     at = F.array(*[F.lit(1 - x) for x in LEVELS])
-    cuts = rows.where("fit and good").groupBy("stratum").agg(*[F.percentile_approx(m, at, 10_000).alias(m) for m in MEASURES])
-    cutoffs = {r.stratum: [[max(r[m][k], low) for m, low in zip(MEASURES, FLOORS, strict=True)] for k in range(len(LEVELS))] for r in cuts.collect()}
-    if not cutoffs:
-        return {}
-    table = F.create_map(*[x for s, v in cutoffs.items() for x in (F.lit(s), F.lit(v))])
-    over = lambda k: F.greatest(*[(F.col(m) > F.col("cuts")[k][j]).cast("int") for j, m in enumerate(MEASURES)])
-    tested = rows.where("not fit").withColumn("cuts", table[F.col("stratum")]).where(F.col("cuts").isNotNull())
-    sums = tested.groupBy("stratum", "good").agg(F.count("*").alias("n"), *[F.sum(over(k)).alias(f"over{k}") for k in range(len(LEVELS))]).collect()
-    found = {(r.stratum, r.good): (r.n, [r[f"over{k}"] for k in range(len(LEVELS))]) for r in sums}
-    out = {}
-    for s, v in cutoffs.items():
-        good, rejected = found.get((s, True), (0, [0] * len(LEVELS)))
-        _, junk = found.get((s, False), (0, [0] * len(LEVELS)))
-        level = chosen_level(good, rejected, junk, alpha, delta / len(cutoffs))
-        if level is not None:
-            out[s] = v[level]
-    return out
-
-
-def apply_rules(measured: DataFrame, cutoffs: dict[str, list[float]], stratum: str = "lang") -> DataFrame:
-    """measured with base_failed and kept: kept unless the base rules or a cutoff of the stratum reject."""
-    over = F.lit(False)
-    if cutoffs:
-        table = F.create_map(*[x for s, v in cutoffs.items() for x in (F.lit(s), F.lit(v))])
-        cut = table[F.coalesce(F.col(stratum).cast("string"), F.lit(""))]
-        over = F.coalesce(F.greatest(*[F.col(m) > cut[j] for j, m in enumerate(MEASURES)]), F.lit(False))
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("weight"))
+    quantiles = rows.where("fit and good").groupBy("stratum").agg(F.array(*[F.percentile_approx(F.col("values")[j], at, 10_000) for j in range(n)]).alias("q"))
+    fitted = skew_join(rows.where("fit and not good"), quantiles.join(sizes, "stratum"), "stratum", "weight", total)
+    caught = fitted.groupBy("stratum").agg(F.array(*[F.array(*[F.count_if(F.col("values")[j] > F.col("q")[j][k]) for k in range(len(LEVELS))]) for j in range(n)]).alias("caught"))
+    path = f"""filter(transform(sequence(0, {n - 1}), j -> transform(array(array_position(transform(caught[j], x -> x >= 0.99 * caught[j][{len(LEVELS) - 1}]), true)),
+        k -> named_struct('less', -caught[j][k - 1], 'j', j, 'cut', q[j][cast(k as int) - 1]))[0]), x -> x.less < 0)"""
+    paths = quantiles.join(caught, "stratum", "left").join(sizes, "stratum").select("stratum", "weight", F.when(F.col("caught").isNotNull(), F.array_sort(F.expr(path))).alias("path"))
+    paths = stored(paths)
+    held = skew_join(rows.where("not fit and good"), paths, "stratum", "weight", total)
+    step = F.expr("coalesce(array_position(transform(path, x -> values[x.j] > x.cut), true), 0)")  # the first rule of the path that rejects
+    shown = held.withColumn("step", step).groupBy("stratum").agg(F.count("*").alias("n_good"), F.array(*[F.count_if((F.col("step") > 0) & (F.col("step") <= k + 1)) for k in range(n)]).alias("upto"))
+    share = paths.agg(F.count("*").alias("strata"))
+    tested = paths.join(shown, "stratum", "left").crossJoin(F.broadcast(share))  # one row
+    passed = f"x <= {alpha!r}D * n_good and {binomial_sql('x', 'n_good', alpha)} <= {delta!r}D / strata"
+    tested = tested.withColumn("ok", F.expr(f"transform(slice(upto, 1, size(path)), x -> {passed})"))
+    tested = tested.withColumn("certified", F.expr("case when n_good is null or path is null then 0 when array_contains(ok, false) then cast(array_position(ok, false) as int) - 1 else size(path) end"))
+    cuts = f"transform(sequence(0, {n - 1}), j -> get(filter(slice(path, 1, certified), x -> x.j = j), 0).cut)"
+    return tested.select("stratum", F.expr(cuts).alias("cuts"), "certified", F.coalesce("n_good", F.lit(0)).alias("n_good"), F.expr("if(certified > 0, upto[certified - 1], 0L)").alias("rejected"))
+
+
+def apply_rules(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """measured with base_failed, certified and kept: kept unless the base rules or a proven cutoff of the stratum reject.
+
+    Every stratum's row, with cutoffs or without, meets its documents by skew_join, so that documents of
+    large strata stay where they are.
+    """
+    own = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in measured.columns)) + "stratum"  # no column of measured
+    keyed = measured.withColumn(own, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    sizes = keyed.groupBy(own).agg(F.count("*").alias("weight"))
+    known = stored(sizes.join(cutoffs.select(F.col("stratum").alias(own), F.col("cuts").alias(f"{own}_cuts"), "certified"), own, "left"))
+    out = skew_join(keyed.drop("certified"), known, own, "weight", keyed.count(), "left")
+    over = F.coalesce(F.greatest(*[F.coalesce(F.col(m) > F.col(f"{own}_cuts")[j], F.lit(False)) for j, m in enumerate(MEASURES)]), F.lit(False))
+    out = out.withColumns({"certified": F.coalesce("certified", F.lit(0)), "base_failed": base_failed(), "kept": ~base_failed() & ~over})
+    return out.drop(own, f"{own}_cuts")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row for every row of docs: doc_id, the stratum, base counts, MEASURES, base_failed and kept.
+    """One row for every row of docs: doc_id, the stratum, base counts, MEASURES, base_failed, certified and kept.
 
-    Null and empty texts have no words and fail the base rules. Repeated rows stay repeated; other columns
-    of docs are ignored; empty docs give no rows, empty labels no cutoffs. Texts are read once: the measures,
-    a few numbers a document, are written to the shared folder for both the cutoffs and the verdict.
+    certified is the number of cutoffs proven for the document's stratum. Null and empty texts have no words
+    and fail the base rules. Repeated rows stay repeated; other columns of docs are ignored; empty docs give
+    no rows, empty labels no cutoffs. Texts are read once: the measures, a few numbers a document, are
+    written to the shared folder for both the cutoffs and the verdict.
     """
     narrow = docs.select(F.col(id_col), F.col(stratum), F.col(text_col))
     measured = stored(text_measures(narrow, text_col).drop(text_col))
-    return apply_rules(measured, learn_cutoffs(measured, labels, stratum, id_col, alpha, delta), stratum)
+    return apply_rules(measured, learn_cutoffs(stored(trials(measured, labels, stratum, id_col)), alpha, delta), stratum)
 
 
 def kept(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -167,9 +183,10 @@ def kept(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col), F.col(stratum), F.col(text_col))
     measured = stored(text_measures(whole, text_col).drop(text_col))
-    return apply_rules(measured, learn_cutoffs(measured, labels, stratum, id_col, alpha, delta), stratum).where("kept").select("_row.*")
+    cutoffs = learn_cutoffs(stored(trials(measured, labels, stratum, id_col)), alpha, delta)
+    return apply_rules(measured, cutoffs, stratum).where("kept").select("_row.*")
 
 
 def op1_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's query."""
-    return quality_rules(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "certified", "kept")

@@ -50,12 +50,65 @@ def test_binomial_bound_is_exact():
     assert q.binomial_cdf(0, 200_000, 0.01) == 0.0 or q.binomial_cdf(0, 200_000, 0.01) < 1e-300
 
 
-def test_fixed_sequence():
-    # 600 good documents: no false rejection proves 1 % at 0.0125 (0.99 ** 600 is 0.0024), 5 do not
-    assert q.chosen_level(600, [0, 0, 5, 0], [10, 50, 60, 99], 0.01, 0.0125) == 1
-    assert q.chosen_level(600, [5, 0], [1, 1], 0.01, 0.0125) is None
-    assert q.chosen_level(300, [0], [1], 0.01, 0.0125) is None
-    assert q.chosen_level(5000, [0, 0, 0], [50, 50, 50], 0.01, 0.0125) == 0  # the most lenient of equals
+def test_binomial_bound_in_sql(spark):
+    rows = [(0, 1), (0, 600), (5, 600), (7, 40), (40, 40), (2, 100_000), (900, 100_000)]
+    got = spark.createDataFrame(rows, "x long, n long").selectExpr("x", "n", f"{q.binomial_sql('x', 'n', 0.01)} as p").collect()
+    assert all(abs(r.p - q.binomial_cdf(r.x, r.n, 0.01)) < 1e-9 for r in got)
+
+
+def slow_cutoffs(rows, alpha, delta):
+    """The selection of learn_cutoffs, plainly."""
+    strata = sorted({r.stratum for r in rows if r.fit and r.good})
+    out = {}
+    for s in strata:
+        good = [r["values"] for r in rows if r.stratum == s and r.fit and r.good]
+        junk = [r["values"] for r in rows if r.stratum == s and r.fit and not r.good]
+        held = [r["values"] for r in rows if r.stratum == s and not r.fit and r.good]
+        path = []
+        for j in range(len(q.MEASURES)):
+            column = sorted(v[j] for v in good)
+            cuts = [column[math.ceil((1 - x) * len(column)) - 1] for x in q.LEVELS]
+            caught = [sum(v[j] > c for v in junk) for c in cuts]
+            k = next(k for k, x in enumerate(caught) if x >= 0.99 * caught[-1])
+            if caught[k]:
+                path.append((-caught[k], j, cuts[k]))
+        cuts, certified, lost = [None] * len(q.MEASURES), 0, 0
+        for k, (_, j, c) in enumerate(sorted(path)):
+            x = sum(any(v[a] > b for _, a, b in sorted(path)[: k + 1]) for v in held)
+            if x > alpha * len(held) or q.binomial_cdf(x, len(held), alpha) > delta / len(strata):
+                break
+            cuts[j], certified, lost = c, k + 1, x
+        out[s] = (cuts, certified, len(held), lost)
+    return out
+
+
+def test_selection_equals_brute_force(spark):
+    rnd = random.Random(8)
+    rows = []
+    for s, n in (("a", 3000), ("b", 3000), ("c", 300), ("", 1200)):
+        for i in range(n):
+            bad = rnd.random() < 0.2
+            v = [rnd.random() ** 4, rnd.random() ** 9, float(rnd.random() < 0.002), 0.0, rnd.gauss(5, 1)]
+            if bad and s != "b":
+                j = rnd.choice([0, 1, 2])
+                v[j] = 1 + rnd.random()
+            if bad and s == "b" and i % 3:
+                v[4] += 9
+            rows.append((s, i, not bad, v, i % 2 == 0))
+    df = spark.createDataFrame(rows, "stratum string, sketch long, good boolean, values array<double>, fit boolean").cache()
+    for alpha, delta in ((0.01, 0.05), (0.03, 0.1)):
+        want = slow_cutoffs(df.collect(), alpha, delta)
+        got = {r.stratum: (r.cuts, r.certified, r.n_good, r.rejected) for r in q.learn_cutoffs(df, alpha, delta).collect()}
+        assert got == want
+        assert want["a"][1] > 0 and want["c"][1] == 0 or alpha > 0.01
+
+
+def test_copies_are_one_trial(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    rows = [(i, text(i // 10 if i < 50 else i), "en", "s", 1) for i in range(80)]
+    docs = cases.docs(spark, rows)
+    got = q.trials(q.text_measures(docs), cases.labels(spark, [(i, int(i != 3), 0) for i in range(80)])).collect()
+    assert len(got) == 35 and sum(not r.good for r in got) == 1
 
 
 def test_cutoffs_reject_junk_and_spare_good(spark):

@@ -52,6 +52,32 @@ def test_splitters_meet_targets_and_stay_in_order(spark):
         assert abs(sum(s for k, s in rows if k < e) - t) <= 250  # the heaviest key has half of 500
 
 
+def test_forty_thousand_ranges(spark):
+    """Splitters against brute force, more of them than the first round has probes."""
+    import bisect
+
+    keys = spark.range(120_000).select(F.xxhash64("id").alias("key"), (F.col("id") % 90 + 1).alias("size")).cache()
+    rows = sorted((r.key, r["size"]) for r in keys.collect())
+    ends, at = [], 0
+    for _, size in rows:
+        at += size
+        ends.append(at)
+    targets = [at * k // 40_000 for k in range(1, 40_000)]
+    found = sharding.splitters(keys, targets, [13] * len(targets))
+    assert found == sorted(found)
+    order = [k for k, _ in rows]
+    for t, e in zip(targets, found, strict=True):
+        i = bisect.bisect_left(order, e)
+        assert abs((ends[i - 1] if i else 0) - t) <= 45  # within the slack or half of the heaviest row
+
+
+def test_equal_texts_stand_together(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 300).alias("text"))
+    rows = sorted((r.shard, r.slot, r.text) for r in sharding.shard(df, 4).collect())
+    runs = 1 + sum(a[2] != b[2] for a, b in zip(rows, rows[1:], strict=False))
+    assert runs == 300
+
+
 def test_range_of(spark):
     edges = [-5, -5, 0, 3, 9]
     got = spark.range(-10, 15).select("id", sharding.range_of("id", edges).alias("r")).collect()
