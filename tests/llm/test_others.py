@@ -104,6 +104,50 @@ def test_co_training(spark):
     assert all(abs(again[i] - out[i].score) < 1e-6 for i in again)
 
 
+def test_co_training_equals_a_plain_loop(spark):
+    """The distributed choice of pseudo-labels against one over all rows in memory, and the whole model after it."""
+    rnd = random.Random(9)
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        text = " ".join(rnd.choice(["lorem", "ipsum", "dolor"]) + ("|" if bad and rnd.random() < 0.97 else "") for _ in range(rnd.randint(12, 30)))
+        rows.append((i, text if i % 9 or i < 3 else rows[-3][1], "en", f"{'x' if bad else 'y'}{i % 3}" if i % 5 else "z", len(text)))
+        if i % 2:
+            labels.append((i, int(not bad), 0))
+    docs, marks = cases.docs(spark, rows).repartition(5), cases.labels(spark, labels)
+    model = quality_classifier.learn(docs, marks, taught=60)
+    q, np = quality_classifier, __import__("numpy")
+    known, first = dict((i, c) for i, c, _ in labels), q.fold("doc_id", 5)
+    frame = q._frame(docs, "doc_id").where(first != 0).selectExpr("*", "xxhash64(text) as hash").toArrow().combine_chunks().to_batches()[0]
+    parts = list(q._views(frame))
+    half = lambda k: np.vstack([p[k] for p in parts]).astype(np.float16).astype(np.float32)
+    x, m, ids = half(1), half(2), frame.column("doc_id").to_pylist()
+    own = sorted((r for r, i in enumerate(ids) if i in known), key=lambda r: (x[r].astype(np.float16).tobytes(), m[r].astype(np.float16).tobytes(), known[ids[r]]))
+    y = np.array([known[ids[r]] for r in own], float)
+    order = np.random.default_rng(0).permutation(len(y))
+    rest = [r for r, i in enumerate(ids) if i not in known]
+    hashes = [frame.column("hash")[r].as_py() for r in rest]
+    wide = [np.vstack([p[k] for p in parts]) for k in (1, 2)]
+
+    def pick(offer):
+        found = q.best_offers(offer, wide[0][rest], wide[1][rest], hashes)
+        return sorted(((*r[:4], r[4].astype(np.float16).astype(np.float32), r[5].astype(np.float16).astype(np.float32)) for r in found), key=lambda r: (r[0], r[1], -r[2], r[3]))
+
+    want = q.co_train(x[own][order], m[own][order], y[order], pick, taught=60)
+    assert model.taught == want.taught and min(want.taught) > 0 and model.history == want.history
+    assert np.allclose(model.score(x, m)[2], want.score(x, m)[2], atol=1e-6)
+
+
+def test_trust_needs_proof():
+    q, np = quality_classifier, __import__("numpy")
+    assert abs(q.lower_bound(20, 20) - 0.05 ** (1 / 20)) < 1e-9 and q.lower_bound(0, 9) == 0
+    p, y = np.linspace(1, 0, 200), np.array([1.0] * 100 + [0.0] * 100)
+    n = int(np.sum(p >= q.trusted_from(p, y)))
+    assert q.lower_bound(100, n) >= q.TRUSTED > q.lower_bound(100, n + 1)
+    assert q.trusted_from(p[:20], y[:20]) is None  # twenty right of twenty prove 0.86 only
+    assert q.auc(p, y) == 1.0 and q.auc(np.zeros(200), y) == 0.5
+
+
 def test_classifier_without_use(spark):
     docs = cases.docs(spark)
     out = quality_classifier.op4_rows(docs, cases.labels(spark, [(1, 1, 0)])).collect()
