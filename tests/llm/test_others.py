@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+
 from rankloom.llm import licenses, quality_classifier, url_filters
 from rankloom.llm.common import skew_join
 
@@ -57,7 +59,40 @@ def test_licenses_inside_long_lines():
     for name, text in licenses.every_template():
         assert t.scan(before + " ".join(text.split()) + after)[0] == name, text[:80]
     assert t.scan("x = 1  # SPDX-License-Identifier: MIT") == ("MIT", 1.0)
-    assert t.scan("SPDX-License-Identifier: ISC") == (None, 0.0)
+    assert t.scan("SPDX-License-Identifier: WTFPL") == (None, 0.0)
+
+
+def test_versions_and_relatives_are_told_apart():
+    t = licenses.Templates()
+    for name, kind, version, thing, _ in licenses.GNU:
+        header = f"# This {thing} is free software; you can redistribute it and/or\n# modify it under the terms of the GNU {kind} Public License\n# as published by the Free Software Foundation; either version {version} of\n# the License, or (at your option) any later version.\n#\n# It is distributed in the hope that it will be useful, but WITHOUT ANY\n# WARRANTY."
+        assert t.scan(header)[0] == name
+        assert t.scan(" ".join(header.split()).replace("either version", "version").replace(", or (at your option) any later version", ""))[0] == name
+    isc = "Copyright (c) 2020, A. B.\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    assert t.scan(isc)[0] == "ISC"
+    whole = dict(licenses.every_template()[-len(licenses.WHOLE) :])
+    assert t.scan(whole["Apache-2.0"][:400])[0] == "Apache-2.0" and t.scan(whole["GPL-3.0"][:600])[0] == "GPL-3.0"
+    assert all(t.scan(f"{text}\n\nand more of the file\n" * 2)[0] == name for name, text in whole.items())
+
+
+def test_gate_loses_no_match():
+    """Bounds against brute force: every window of every template's length, and no gate."""
+    t = licenses.Templates()
+    rnd = random.Random(6)
+    pieces = [licenses.tokens_of(x) for _, x in licenses.every_template() if len(licenses.tokens_of(x)) < 40]
+    for _ in range(60):
+        tokens = []
+        for _ in range(rnd.randint(1, 3)):
+            own = rnd.choice(pieces)
+            tokens += [x if rnd.random() < 0.8 else "zzz" for x in own] + [rnd.choice(["software", "alpha", "public"])] * rnd.randint(0, 4)
+        text = " ".join(tokens)
+        short = [i for i, n in enumerate(t.lengths) if n < 40]
+        want = min((t.rank(i, t.cosine(tokens[a : a + n], i)) for i in short for n in [min(len(tokens), t.lengths[i])] for a in range(len(tokens) - n + 1)), default=(True, 0.0, ""))
+        name, cosine = t.scan(text)
+        if -want[1] >= licenses.LEAST_COSINE:
+            assert name and cosine >= -want[1] - 1e-9
+            raw = np.frombuffer(text.encode(), np.uint8)
+            assert t.candidates(raw, np.array([0, len(raw)])).tolist() == [0]
 
 
 def test_sliding_windows_equal_brute_force():
