@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -77,6 +78,28 @@ def chunk_key(chunk: bytes) -> bytes:
     return xxhash.xxh3_128_digest(chunk)
 
 
+#: What the cuts below rely on (fixed values of the tokenizer's file).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+
+def check_tokenizer(tokenizer: Tokenizer) -> None:
+    """Raise unless the tokenizer normalises, splits and decodes as cut_pieces and Codec assume; its vocabulary is free."""
+    known = json.loads(tokenizer.to_str())
+    split = (known["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    model = known["model"]
+    as_assumed = {
+        "normalizer": known["normalizer"] == NORMALIZER,
+        "pre-tokenizer": split[0].get("pattern") == {"Regex": SPLIT} and split[0].get("invert") is True and [x["type"] for x in split] == ["Split", "ByteLevel"] and not split[1]["add_prefix_space"] and not split[1]["use_regex"],
+        "decoder": known["decoder"] is None and known["post_processor"] is None,
+        "model": model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and not model["dropout"] and not model["byte_fallback"] and not model["continuing_subword_prefix"] and not model.get("ignore_merges"),
+        "special tokens": all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in known["added_tokens"]),
+    }
+    if wrong := [k for k, ok in as_assumed.items() if not ok]:
+        raise ValueError(f"the tokenizer's {', '.join(wrong)} cannot be encoded by pieces of words")
+
+
 class Codec:
     """The tokenizer at path, with a bounded memory of pieces of words.
 
@@ -91,8 +114,9 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        check_tokenizer(self.tokenizer)
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.ends = np.array([n.endswith("</w>") for n in self.names])
+        self.ends = np.array([n.endswith(WORD_END) for n in self.names])
         # piece: its ids as int32 bytes, and their decoded text with a space after it. Pieces that go to the
         # tokenizer whole are under (piece,). What was not used for MEMO_PIECES others is forgotten.
         self.memo: dict = {}

@@ -40,16 +40,22 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     An item of fewer words, but not none, is one window. Items with a null id count as the item ''.
     """
 
+    def made(out: tuple[list, list, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["window", "n", "item"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, list, list] = [], [], []
         for batch in batches:
-            out = [], [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = words_of(text)
                 for at in range(max(1, len(found) - words + 1) if found else 0):
                     one = found[at : at + words]
                     for column, value in zip(out, (b" ".join(one), len(one), item), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["window", "n", "item"])
+                    if len(out[0]) >= 8192:  # however long an item is
+                        yield made(out)
+                        out = [], [], []
+        yield made(out)
 
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "window binary, n int, item string").groupBy("window", "n").agg(F.collect_set("item").alias("items"))

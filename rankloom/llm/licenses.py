@@ -66,6 +66,8 @@ SPDX = ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL
 WHOLE = ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0")
 #: Least cosine of a match; that at which a whole text goes before notices and opening clauses; lines that a window joins at most.
 LEAST_COSINE, SURE_COSINE, WINDOW_LINES = 0.75, 0.9, 3
+#: Share of a template's squared weight whose tokens must stand in a window: one word said over and over is no notice.
+COVER = 0.75
 #: A template of more tokens is a whole text.
 SHORT = 400
 #: Names of licence files, whose verdict their directory hands down.
@@ -91,10 +93,9 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 class Templates:
     """Templates as unit TF-IDF vectors. A token of no template has the weight of the rarest.
 
-    What can match at all is told by two bounds that hold for every window (by Cauchy and Schwarz): the
-    template's tokens that stand in it must have LEAST_COSINE squared of the template's squared weight. So a
-    window needs one of the template's key tokens, the heaviest ones whose absence alone would forbid a
-    match; and a stretch of text whose distinct tokens have less is of no use for that template.
+    A window matches by its cosine, if the template's tokens that stand in it have COVER of its squared
+    weight. So a window needs one of the template's key tokens, the heaviest ones whose absence alone forbids
+    a match; and a stretch of text whose distinct tokens have less is of no use for that template.
     """
 
     def __init__(self, templates: tuple[tuple[str, str], ...] | None = None):
@@ -122,7 +123,7 @@ class Templates:
                 self.square[i, self.ids[t]] = (w / norm) ** 2
             left = 1.0
             for t, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
-                if left < LEAST_COSINE**2 - 1e-6:
+                if left < COVER - 1e-6:
                     break
                 left -= (w / norm) ** 2
                 self.key[self.ids[t]] = True
@@ -149,16 +150,19 @@ class Templates:
         """The first match of these tokens as a whole, by rank."""
         counts = Counter(tokens)
         norm = math.sqrt(sum((k * self.idf.get(t, self.rarest)) ** 2 for t, k in counts.items()))
-        dots: dict[int, float] = {}
+        dots: dict[int, list[float]] = {}
         for t, k in counts.items():
             for i, w in self.index.get(t, ()):
-                dots[i] = dots.get(i, 0.0) + k * self.idf[t] * w
-        return min((self.rank(i, round(d / norm, 9)) for i, d in dots.items()), default=_NONE)
+                dot = dots.setdefault(i, [0.0, 0.0])
+                dot[0] += k * self.idf[t] * w
+                dot[1] += w * w
+        return min((self.rank(i, round(d / norm, 9)) for i, (d, held) in dots.items() if held >= COVER), default=_NONE)
 
     def slide(self, tokens: list[str], chosen: list[int]) -> tuple[bool, float, str]:
         """The first match by rank of any window of the length of a chosen template, against that template.
 
-        Dot products are differences of running sums. The squared norm changes by idf**2 (2 k + 1) as a token
+        Dot products are differences of running sums; a token counts for COVER in the windows that begin after its
+        last place before. The squared norm changes by idf**2 (2 k + 1) as a token
         enters or leaves that stands k more times in the window; k comes from the token's sorted places.
         """
         own: dict[str, int] = {}
@@ -170,6 +174,9 @@ class Templates:
         order = np.argsort(ids, kind="stable")
         keys = ids[order] * (n + 1) + order
         nth = np.arange(n)
+        last = np.full(n, -1)
+        repeated = np.flatnonzero(ids[order[1:]] == ids[order[:-1]])
+        last[order[repeated + 1]] = order[repeated]
         top = _NONE
         for length in sorted({min(n, self.lengths[i]) for i in chosen}):
             enters, leaves = np.empty(n), np.empty(n)
@@ -183,14 +190,21 @@ class Templates:
                     continue
                 total = np.concatenate([[0.0], np.cumsum(self.gain[i][known])])
                 cosines = (total[length:] - total[: n - length + 1]) / norms
+                own_at = np.flatnonzero(self.square[i][known] > 0)
+                steps = np.zeros(n + 2)
+                np.add.at(steps, np.maximum(last[own_at] + 1, np.maximum(own_at - length + 1, 0)), self.square[i][known[own_at]])
+                np.add.at(steps, own_at + 1, -self.square[i][known[own_at]])
+                cosines = np.where(np.cumsum(steps)[: n - length + 1] >= COVER - 1e-9, cosines, 0.0)
                 at = int(np.argmax(cosines))
                 if cosines[at] >= LEAST_COSINE - 1e-6:
                     top = min(top, self.rank(i, self.cosine(tokens[at : at + length], i)))
         return top
 
     def cosine(self, tokens: list[str], i: int) -> float:
-        """The cosine of tokens and template i, without running sums."""
+        """The cosine of tokens and template i, without running sums; 0 below COVER."""
         counts = Counter(tokens)
+        if sum(self.square[i, self.ids[t]] for t in counts if t in self.ids) < COVER - 1e-9:
+            return 0.0
         norm = math.sqrt(sum((k * self.idf.get(t, self.rarest)) ** 2 for t, k in counts.items()))
         return round(float(sum(k * self.gain[i, self.ids[t]] for t, k in counts.items() if t in self.ids)) / norm, 9)
 
@@ -216,7 +230,7 @@ class Templates:
         for length, chosen in self.groups():
             for a, b in regions(hits.tolist(), length, len(tokens)):
                 held = self.square[chosen][:, np.unique(ids[a:b])].sum(axis=1)
-                able = [i for i, x in zip(chosen, held.tolist(), strict=True) if x >= LEAST_COSINE**2 - 1e-6]
+                able = [i for i, x in zip(chosen, held.tolist(), strict=True) if x >= COVER - 1e-6]
                 if able:
                     top = min(top, self.slide(tokens[a:b], able))
         return (top[2], -top[1]) if -top[1] >= LEAST_COSINE else (None, 0.0)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer_path() -> str:
-    """The vocabulary file: $BPE_TOKENIZER, or that of the package of public tokenizers."""
-    if given := os.environ.get("BPE_TOKENIZER"):
-        return given
+    """The vocabulary file of the package of public tokenizers."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")

@@ -12,8 +12,8 @@ BROADCAST_PATTERNS, SALTS = 100_000, 16
 
 
 def host_of(url: Column) -> Column:
-    """The lower-cased host of an absolute URL, without user, port and last dot; null if there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """The lower-cased host of an absolute URL, without user, port and last dot (an IPv6 address in its brackets); null if there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:]*)", 1))
     return F.nullif(F.regexp_replace(host, r"\.$", ""), F.lit(""))
 
 
@@ -66,7 +66,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     base = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(time_col).alias("fetched_at"))
     base = base.withColumn("host", host_of(F.col("url")))
     open_ = base.where("host is not null and fetched_at is not null").select("page_id", "url", "fetched_at").distinct()
-    open_ = open_.select("*", host_of(F.col("url")).alias("host"), F.rtrim(F.lower(path_of(F.col("url")))).alias("path"))
+    open_ = open_.select("*", host_of(F.col("url")).alias("host"), F.lower(path_of(F.col("url"))).alias("path"))
     wide = open_.select("page_id", "url", "fetched_at", F.explode(candidates("host", "path", deepest)).alias("pattern"))
     if n <= BROADCAST_PATTERNS:
         met = wide.join(F.broadcast(patterns), "pattern")
@@ -105,10 +105,10 @@ def op3_rows(pages: DataFrame) -> DataFrame:
 ORACLE = r"""
 with captures as (
   select page_id, url, date '2024-01-01' + cast(page_id * 37 % 365 as int) as fetched_at,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as host,
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:]*)', 1)), '[.]$', ''), '') as host,
     string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')[2] as first_part
   from pages
-), hosts as (select distinct host, md5(host) as h from captures),
+), hosts as (select distinct host, md5(host) as h from captures where host is not null),
 entries as (select distinct list_name, pattern, action, cast(day_at as date) as since from (""" + ENTRIES.format(dot="instr(host, '.')") + r""") e),
 spans as (
   select list_name, pattern, since as valid_from, valid_to from (

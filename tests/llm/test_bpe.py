@@ -88,6 +88,16 @@ def test_empty(spark):
     assert bpe.encode_documents(cases.docs(spark, []), tokenizer_path()).collect() == []
 
 
-def test_path_is_a_parameter(monkeypatch):
-    monkeypatch.setenv("BPE_TOKENIZER", "/somewhere/file.json")
-    assert tokenizer_path() == "/somewhere/file.json"
+def test_path_is_a_parameter(spark, tok, tmp_path):
+    import shutil
+
+    at = shutil.copy(tokenizer_path(), tmp_path / "own.json")
+    rows = bpe.encode_documents(cases.docs(spark, cases.ROWS[:1]), str(at)).collect()
+    assert rows[0].ids == expected(tok, cases.PLAIN)[0]
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))

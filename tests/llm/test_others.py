@@ -20,8 +20,8 @@ def test_validity(spark):
 
 
 def test_captures_meet_the_entries_of_their_time(spark, monkeypatch):
-    entries = spark.createDataFrame([("spam", "bad.org", "add", D(2024, 2, 1)), ("spam", "bad.org", "remove", D(2024, 3, 1)), ("ads", "x.bad.org", "add", D(2024, 1, 1)), ("path", "ok.com/a/b", "add", D(2024, 1, 1))], "list_name string, pattern string, action string, at date")
-    urls = ["http://x.bad.org/", "https://u:p@X.BAD.org.:8080/q?a#b", "http://notbad.org/", "http://ok.com/a/b/c?x=1", "http://ok.com/a/bc", "http://ok.com/A/B", "mailto:x", None, ""]
+    entries = spark.createDataFrame([("spam", "bad.org", "add", D(2024, 2, 1)), ("spam", "bad.org", "remove", D(2024, 3, 1)), ("ads", "x.bad.org", "add", D(2024, 1, 1)), ("path", "ok.com/a/b", "add", D(2024, 1, 1)), ("six", "[2001:db8::1]", "add", D(2023, 1, 1))], "list_name string, pattern string, action string, at date")
+    urls = ["http://x.bad.org/", "https://u:p@X.BAD.org.:8080/q?a#b", "http://notbad.org/", "http://ok.com/a/b/c?x=1", "http://ok.com/a/bc", "http://ok.com/A/B", "mailto:x", None, "", "http://[2001:DB8::1]:80/a"]
     days = [D(2024, 1, 31), D(2024, 2, 1), D(2024, 2, 29), D(2024, 3, 1), None]
     rows = [(k * 10 + j, u, d, 1) for k, u in enumerate(urls) for j, d in enumerate(days)] + [(0, urls[0], days[0], 1)]
     captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at date, pattern int")
@@ -30,6 +30,8 @@ def test_captures_meet_the_entries_of_their_time(spark, monkeypatch):
         if not u or "://" not in u or d is None:
             return []
         out = []
+        if u.startswith("http://[2001"):
+            return ["six"]
         if "bad.org" in u.lower() and "notbad" not in u:
             out += ["ads"] if D(2024, 1, 1) <= d else []
             out += ["spam"] if D(2024, 2, 1) <= d < D(2024, 3, 1) else []
@@ -49,6 +51,7 @@ def test_license_scores():
     assert t.scan("Licensed under CC BY-NC 4.0.")[0] == "CC-BY-NC-4.0"
     assert t.scan("nothing to see, no permission for anything at all here")[0] is None
     assert t.scan("") == (None, 0.0)
+    assert t.scan("Mit Mit Mit Mit Mit lich lich mit mit mit und mit")[0] is None
     wrapped = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License,\nversion 3"
     assert t.scan(wrapped)[0] == "GPL-3.0"
 
