@@ -13,10 +13,18 @@ _stored: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one of this process."""
+    """The folder of spark.checkpoint.dir, else that of setCheckpointDir; a temporary one of this process where Spark is local.
+
+    On a cluster without either this raises: a folder of the driver's disk is not one that executors share.
+    """
     global _own_dir
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = given.get() if given.isDefined() else None
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own_dir = _own_dir or tempfile.mkdtemp(prefix="rankloom-")
         at = "file://" + _own_dir
     return at.rstrip("/")
