@@ -305,7 +305,9 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
     ancestors = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))))
     up = stored(dirs.select("dir", "files", F.posexplode(ancestors).alias("depth", "above")))
     below = up.groupBy("above").agg(F.count("*").alias("weight"))
-    nearest = skew_join(up, given.withColumnRenamed("dir", "above").join(below, "above"), "above", "weight", up.count()).groupBy("dir", "files").agg(F.max(F.struct("depth", "above", "dir_license")).alias("n"))
+    # Every ancestor is on the right side, with a licence or without, so that a hot one is known as such.
+    every_above = below.join(given.withColumnRenamed("dir", "above"), "above", "left")
+    nearest = skew_join(up, every_above, "above", "weight", up.count()).where("dir_license is not null").groupBy("dir", "files").agg(F.max(F.struct("depth", "above", "dir_license")).alias("n"))
     nearest = nearest.select("dir", "files", F.col("n.dir_license").alias("dir_license"), F.col("n.above").alias("above"))
     out = skew_join(own, nearest, "dir", "files", own.count(), "left")
     inherits = F.col("own_license").isNull()

@@ -128,13 +128,13 @@ def learn_cutoffs(rows: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -
     at = F.array(*[F.lit(1 - x) for x in LEVELS])
     sizes = rows.groupBy("stratum").agg(F.count("*").alias("weight"))
     quantiles = rows.where("fit and good").groupBy("stratum").agg(F.array(*[F.percentile_approx(F.col("values")[j], at, 10_000) for j in range(n)]).alias("q"))
-    fitted = skew_join(rows.where("fit and not good"), quantiles.join(sizes, "stratum"), "stratum", "weight", total)
+    fitted = skew_join(rows.where("fit and not good"), sizes.join(quantiles, "stratum", "left"), "stratum", "weight", total).where("q is not null")
     caught = fitted.groupBy("stratum").agg(F.array(*[F.array(*[F.count_if(F.col("values")[j] > F.col("q")[j][k]) for k in range(len(LEVELS))]) for j in range(n)]).alias("caught"))
     path = f"""filter(transform(sequence(0, {n - 1}), j -> transform(array(array_position(transform(caught[j], x -> x >= 0.99 * caught[j][{len(LEVELS) - 1}]), true)),
         k -> named_struct('less', -caught[j][k - 1], 'j', j, 'cut', q[j][cast(k as int) - 1]))[0]), x -> x.less < 0)"""
     paths = quantiles.join(caught, "stratum", "left").join(sizes, "stratum").select("stratum", "weight", F.when(F.col("caught").isNotNull(), F.array_sort(F.expr(path))).alias("path"))
     paths = stored(paths)
-    held = skew_join(rows.where("not fit and good"), paths, "stratum", "weight", total)
+    held = skew_join(rows.where("not fit and good"), sizes.join(paths.drop("weight"), "stratum", "left"), "stratum", "weight", total)
     step = F.expr("coalesce(array_position(transform(path, x -> values[x.j] > x.cut), true), 0)")  # the first rule of the path that rejects
     shown = held.withColumn("step", step).groupBy("stratum").agg(F.count("*").alias("n_good"), F.array(*[F.count_if((F.col("step") > 0) & (F.col("step") <= k + 1)) for k in range(n)]).alias("upto"))
     share = paths.agg(F.count("*").alias("strata"))
