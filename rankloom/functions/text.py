@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import html
+import html.entities
+from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +28,12 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")
 
 
-def clean_html(c: Column, every_entity: bool = False) -> Column:
-    """Tags become spaces, entities characters; null becomes ''. every_entity decodes all of HTML's in an Arrow UDF."""
+def clean_html(c: Column, every_entity: bool = True) -> Column:
+    """Tags become spaces, entities characters; null becomes ''.
+
+    Numbered entities and all of HTML's named ones that end in a semicolon are decoded once, by one map in
+    the JVM; without every_entity only ENTITIES are.
+    """
     text = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")
     if every_entity:
         text = _unescape(text)
@@ -37,23 +43,37 @@ def clean_html(c: Column, every_entity: bool = False) -> Column:
     return collapse(text)
 
 
+@cache
+def _named() -> str:
+    """HTML's entities with a semicolon as one text: name, character, name, character ..., apart by control characters."""
+    return "\x02".join(f"{k[:-1]}\x01{v}" for k, v in sorted(html.entities.html5.items()) if k.endswith(";"))
+
+
 def _unescape(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
+    """A text is cut before every '&'; a piece that begins with an entity has it replaced, others stay as they are."""
+    named = F.str_to_map(F.lit(_named()), F.lit("\x02"), F.lit("\x01"))
+    code = lambda x: F.when(x.rlike("^#[xX]"), F.conv(F.substring(x, 3, 8), 16, 10)).otherwise(F.substring(x, 2, 9)).try_cast("int")
+    valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        found = F.when(name.startswith("#"), F.when(valid(code(name)), char(code(name)))).when(name != "", F.try_element_at(named, name))
+        return F.when(found.isNotNull(), F.concat(found, F.substring(p, F.length(name) + 2, F.length(p)))).otherwise(F.concat(F.lit("&"), p))
 
-    return decode(c)
+    parts = F.split(c, "&")
+    return F.when(F.instr(c, "&") == 0, c).otherwise(F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), "")))
 
 
 def _given(label: str, value: Column) -> Column:
     return F.when(value != "", F.concat(F.lit(label), value))
 
 
-def product_text(every_entity: bool = False) -> Column:
+def product_text(every_entity: bool = True) -> Column:
     """Title, brand, colour, features and description on lines of their own; what is blank is left out."""
     own = lambda c: clean_html(F.col(c), every_entity)
     bullets = F.split(F.coalesce("product_bullet_point", F.lit("")), "\n")
-    features = F.array_join(F.filter(F.transform(bullets, lambda b: clean_html(b)), lambda b: b != ""), "; ")
+    features = F.array_join(F.filter(F.transform(bullets, lambda b: clean_html(b, every_entity)), lambda b: b != ""), "; ")
     has_bullets = collapse(F.coalesce("product_bullet_point", F.lit(""))) != ""
     return F.concat_ws("\n", F.nullif(own("product_title"), F.lit("")), _given("Brand: ", own("product_brand")), _given("Color: ", own("product_color")), F.when(has_bullets, F.concat(F.lit("Features: "), features)), _given("Description: ", own("product_description")))
 
@@ -122,6 +142,28 @@ def title_or_default(title: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), F.lit(UNTITLED))
 
 
+def item_text(fields: dict[str, Column], most: int = schemas.ITEM_TOKENS) -> Column:
+    """struct(text, truncated, n_tokens): an item's fields cleaned of HTML, rendered on lines, cut to the budget; without a title the default one."""
+    own = {k: collapse(clean_html(v)) if k != "title" else title_or_default(collapse(clean_html(v))) for k, v in fields.items()}
+    return cut(render_item(own), most)
+
+
+def subword_cut(c: Column, most: int, count: Callable[[str], list[tuple[int, int]]]) -> Column:
+    """As cut for a tokenizer of subwords: count(text) gives the tokens' places (start, end); the text is kept up to the end of the last one within the budget.
+
+    The tokenizer runs in an Arrow UDF: no function of the JVM has its vocabulary.
+    """
+    @F.pandas_udf("text string, truncated boolean, n_tokens int")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in s.fillna(""):
+            places = count(t)
+            out.append((t, False, len(places)) if len(places) <= most else (t[: places[most - 1][1]], True, most))
+        return pd.DataFrame(out, columns=["text", "truncated", "n_tokens"])
+
+    return run(c)
+
+
 def decision_state(profile: Column, item: Column, labels: tuple[str, str] = STATE_LABELS) -> Column:
     """What a decision model is shown about one candidate: the profile, then the candidate's text, each under its label."""
     return F.concat(F.lit(labels[0] + "\n"), profile, F.lit(f"\n\n{labels[1]}\n"), item, F.lit("\n"))

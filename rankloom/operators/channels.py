@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +13,8 @@ from .. import schemas
 from ..storage import stored
 from .timeline import history, liked_or_all
 
-#: Shares of the events of one span of time.
-SALTS = 64
+#: Shares of the events of one span of time; rows of rankings that are broadcast at most; a user's items of a block in the self-join.
+SALTS, BROADCAST_ROWS, PAIR_BLOCK = 64, 1_000_000, 256
 
 
 def popularity(ratings: DataFrame, cohort: DataFrame, window_days: int = schemas.WINDOW_DAYS) -> DataFrame:
@@ -29,9 +33,9 @@ def popularity(ratings: DataFrame, cohort: DataFrame, window_days: int = schemas
     return met.groupBy("query_time", "item_id").agg(F.count("*").cast("double").alias("score"))
 
 
-def available(first: DataFrame, cohort: DataFrame) -> DataFrame:
+def available(first: DataFrame, times: DataFrame) -> DataFrame:
     """(query_time, item_id): items first seen strictly before each distinct query time."""
-    return first.join(cohort.select("query_time").distinct(), F.col("first_seen") < F.col("query_time")).select("query_time", "item_id")
+    return first.join(times.select("query_time").distinct(), F.col("first_seen") < F.col("query_time")).select("query_time", "item_id")
 
 
 def topm_shared(scores: DataFrame, cohort: DataFrame, first: DataFrame, seen: DataFrame, m: int) -> DataFrame:
@@ -40,16 +44,25 @@ def topm_shared(scores: DataFrame, cohort: DataFrame, first: DataFrame, seen: Da
     Eligible are items available before the query time that the user has not seen; those without a score
     count 0 and fill up. Ties go to the smaller item. Instead of users times items, items are ranked once a
     query time; a user then needs no more than m + (own seen items) of that ranking. How deep any user goes
-    is found first, so that ranking keeps no more of any partition.
+    is found first, so that ranking keeps no more of any partition. Items without a score are asked for only
+    at query times whose scored items do not reach so deep. Users meet places of the ranking by equality of
+    (query time, place), so no list of a query time is ever one row, and users of one time are spread.
     """
-    ranked = available(first, cohort).join(scores, ["query_time", "item_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     n_seen = seen.groupBy("user_id").agg(F.count("*").alias("n_seen"))
     users = stored(cohort.select("user_id", "query_time").join(n_seen, "user_id", "left").withColumn("n", F.lit(m) + F.coalesce("n_seen", F.lit(0))))
     deepest = users.agg(F.max("n")).first()[0] or m
+    scored = scores.where("score > 0").join(first, "item_id").where("first_seen < query_time").select("query_time", "item_id", "score")
     place = F.row_number().over(Window.partitionBy("query_time").orderBy(F.desc("score"), "item_id"))
-    top = ranked.withColumn("place", place).where(F.col("place") <= deepest)
-    lists = top.groupBy("query_time").agg(F.array_sort(F.collect_list(F.struct("place", "item_id", "score"))).alias("list"))
-    wide = users.join(lists, "query_time").select("user_id", "query_time", F.explode(F.slice("list", 1, F.col("n").cast("int"))).alias("x")).select("user_id", "query_time", "x.*")
+    scored = stored(scored.withColumn("place", place).where(F.col("place") <= deepest))
+    depth = scored.groupBy("query_time").agg(F.count("*").alias("had"))
+    short = stored(cohort.select("query_time").distinct().join(depth, "query_time", "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < deepest))
+    rest = available(first, short).join(scored.select("query_time", "item_id"), ["query_time", "item_id"], "left_anti")
+    rest = rest.withColumn("own", F.row_number().over(Window.partitionBy("query_time").orderBy("item_id"))).where(F.col("own") <= deepest)
+    rest = rest.join(short, "query_time").select("query_time", "item_id", F.lit(0.0).alias("score"), (F.col("own") + F.col("had")).alias("place"))
+    top = stored(scored.unionByName(rest.where(F.col("place") <= deepest)))
+    wanted = users.select("user_id", "query_time", F.explode(F.expr("sequence(1, cast(n as int))")).alias("place"))
+    small = top.count() <= BROADCAST_ROWS  # checked; more are shuffled
+    wide = wanted.join(F.broadcast(top) if small else top, ["query_time", "place"])
     open_ = wide.join(seen, ["user_id", "item_id"], "left_anti")
     return ranked_lists(open_, m, F.col("place"))
 
@@ -66,15 +79,23 @@ def topm_from_scores(scores: DataFrame, cohort: DataFrame, first: DataFrame, see
     return ranked_lists(open_, m, F.desc("score"), F.col("item_id"))
 
 
-def cooccurrence(ratings: DataFrame, cohort: DataFrame) -> DataFrame:
+def cooccurrence(ratings: DataFrame, cohort: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(query_time, i, j, sim): users with both items before the query time, over both items' root degrees.
 
-    Incidence is binary; an item is not its own neighbour. The self-join is on the user, over distinct pairs.
+    Incidence is binary; an item is not its own neighbour. With wanted, distinct (query_time, i), only these
+    items' neighbours are found. The self-join is on the user over distinct pairs; the right side's items of
+    a user are cut into blocks of PAIR_BLOCK, and the left side's repeated for each, so that no key holds the
+    pairs of a user of very many items. Counts are summed within each task before the shuffle.
     """
     times = cohort.select("query_time").distinct()
-    pairs = ratings.select("user_id", "item_id", "ts").join(times, F.col("ts") < F.col("query_time")).select("query_time", "user_id", "item_id").distinct()
+    pairs = stored(ratings.select("user_id", "item_id", "ts").join(times, F.col("ts") < F.col("query_time")).select("query_time", "user_id", "item_id").distinct())
     degree = pairs.groupBy("query_time", "item_id").agg((F.sqrt(F.count("*")) + 1e-9).alias("root"))
-    both = pairs.withColumnRenamed("item_id", "i").join(pairs.withColumnRenamed("item_id", "j"), ["query_time", "user_id"]).where("i <> j")
+    parts = pairs.groupBy("query_time", "user_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("parts"))
+    left = pairs.withColumnRenamed("item_id", "i")
+    left = left if wanted is None else left.join(wanted.select("query_time", "i").distinct(), ["query_time", "i"], "left_semi")
+    left = left.join(parts, ["query_time", "user_id"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    right = pairs.withColumnRenamed("item_id", "j").join(parts, ["query_time", "user_id"]).withColumn("part", F.pmod(F.xxhash64("j"), F.col("parts")).cast("int")).drop("parts")
+    both = left.join(right, ["query_time", "user_id", "part"]).where("i <> j")
     counts = both.groupBy("query_time", "i", "j").agg(F.count("*").alias("n"))
     out = counts.join(degree.select("query_time", F.col("item_id").alias("i"), F.col("root").alias("ri")), ["query_time", "i"])
     out = out.join(degree.select("query_time", F.col("item_id").alias("j"), F.col("root").alias("rj")), ["query_time", "j"])
@@ -87,11 +108,15 @@ def recency_weight(half_life_days: float | Column = schemas.HALF_LIFE_DAYS) -> C
     return F.pow(F.lit(0.5), age / 86400e6 / half_life_days)
 
 
-def cooccurrence_scores(sim: DataFrame, ratings: DataFrame, cohort: DataFrame, half_life_days: float = schemas.HALF_LIFE_DAYS) -> DataFrame:
-    """(user_id, item_id, score > 0): recency-weighted liked events (all, if none is liked) times their neighbours."""
+def liked_weights(ratings: DataFrame, cohort: DataFrame, half_life_days: float = schemas.HALF_LIFE_DAYS) -> DataFrame:
+    """(user_id, query_time, i, w): recency weights of liked events (all, if none is liked), summed for each item."""
     rows = liked_or_all(history(ratings, cohort)).withColumn("w", recency_weight(half_life_days))
-    weights = rows.groupBy("user_id", "query_time", "item_id").agg(F.sum("w").alias("w"))
-    met = weights.withColumnRenamed("item_id", "i").join(sim, ["query_time", "i"])
+    return rows.groupBy("user_id", "query_time", F.col("item_id").alias("i")).agg(F.sum("w").alias("w"))
+
+
+def cooccurrence_scores(sim: DataFrame, weights: DataFrame) -> DataFrame:
+    """(user_id, item_id, score > 0): liked_weights times their items' neighbours."""
+    met = weights.join(sim, ["query_time", "i"])
     return met.groupBy("user_id", F.col("j").alias("item_id")).agg(F.sum(F.col("w") * F.col("sim")).alias("score")).where("score > 0")
 
 
@@ -99,30 +124,48 @@ def interleave(channels: dict[str, DataFrame], m: int, quotas: dict[str, int] |
     """(user_id, query_time, rank, item_id, l1_score, source): round-robin merge of ranked lists without repeats.
 
     In each round every channel in order gives its next item that is not out yet; exhausted channels and
-    those at their quota are skipped; the merge ends at m items. l1_score is 1 / (rank + 1). The fold runs
-    over m rounds of a user's lists inside one array expression; of a channel 2 m items suffice, as the
-    others can take fewer than m of them.
+    those at their quota are skipped; the merge ends at m items. l1_score is 1 / (rank + 1). Of a channel 2 m
+    items suffice, as the others can take fewer than m of them. A user's lists are one row, merged in Arrow
+    batches by one walk over each list.
     """
-    names = list(channels)
-    quotas = quotas or {}
+    names, quotas = list(channels), quotas or {}
     parts = [df.where(F.col("rank") < 2 * m).select("user_id", "query_time", F.lit(k).alias("c"), "rank", "item_id") for k, df in enumerate(channels.values())]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     lists = every.groupBy("user_id", "query_time").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("c") == k, F.struct("rank", "item_id")))), lambda x: x["item_id"]).alias(f"l{k}") for k in range(len(names))])
-    kind = dict(every.dtypes)["item_id"]
-    cap = "map(" + ", ".join(f"{k}, {int(quotas.get(n, m))}" for k, n in enumerate(names)) + ")"
-    pick = "case c " + " ".join(f"when {k} then l{k}" for k in range(len(names))) + " end"
-    state = f"named_struct('out', cast(array() as array<{kind}>), 'src', cast(array() as array<int>))"
-    # One turn: channel c = turn mod C appends its first item that is not out.
-    step = f"""(s, c) -> transform(array(get(array_except({pick}, s.out), 0)), x ->
-        if(x is null or size(s.out) >= {m} or size(filter(s.src, y -> y = c)) >= element_at({cap}, c),
-           s, named_struct('out', array_append(s.out, x), 'src', array_append(s.src, c))))[0]"""
-    turns = f"transform(sequence(0, {m * len(names) - 1}), t -> cast(t % {len(names)} as int))"
-    merged = lists.select("user_id", "query_time", F.expr(f"aggregate({turns}, {state}, {step})").alias("s"))
-    rows = merged.select("user_id", "query_time", F.posexplode(F.expr("arrays_zip(s.out, s.src)")).alias("rank", "x"))
-    label = F.array(*[F.lit(n) for n in names])
-    return rows.select("user_id", "query_time", F.col("rank").cast("long").alias("rank"), F.col("x.out").alias("item_id"), (1.0 / (F.col("rank") + 1)).alias("l1_score"), label[F.col("x.src")].alias("source"))
+    kinds = dict(every.dtypes)
+    most = [quotas.get(n, m) for n in names]
+
+    def merged(own: list[list]) -> tuple[list, list[int]]:
+        out, source, used, at, left = [], [], set(), [0] * len(own), list(most)
+        while len(out) < m:
+            before = len(out)
+            for c, items in enumerate(own):
+                while at[c] < len(items) and items[at[c]] in used:
+                    at[c] += 1
+                if at[c] < len(items) and left[c] > 0 and len(out) < m:
+                    out.append(items[at[c]])
+                    source.append(c)
+                    used.add(items[at[c]])
+                    left[c] -= 1
+            if len(out) == before:
+                break
+        return out, source
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                found = [merged([x or [] for x in row]) for row in zip(*[part.column(2 + k).to_pylist() for k in range(len(names))], strict=True)]
+                sizes = np.array([len(items) for items, _ in found])
+                users = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                ranks = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else np.zeros(0, np.int64)
+                items = pa.array([x for items, _ in found for x in items], batch.column(2).type.value_type)
+                sources = pa.array([names[c] for _, s in found for c in s], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(users), part.column(1).take(users), pa.array(ranks, pa.int64()), items, pa.array(1.0 / (ranks + 1), pa.float64()), sources], names=["user_id", "query_time", "rank", "item_id", "l1_score", "source"])
+
+    return lists.mapInArrow(run, f"user_id {kinds['user_id']}, query_time {kinds['query_time']}, rank long, item_id {kinds['item_id']}, l1_score double, source string")
 
 
 def source_share(pool: DataFrame, top: int = schemas.EVAL_M) -> DataFrame:

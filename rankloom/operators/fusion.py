@@ -13,7 +13,7 @@ def check_cover(a: DataFrame, b: DataFrame) -> None:
     """Both runs must score the same (user, item) pairs."""
     pair = ["user_id", "item_id"]
     if n := a.select(pair).exceptAll(b.select(pair)).unionAll(b.select(pair).exceptAll(a.select(pair))).count():
-        raise ValueError(f"reranker and partner runs cover different candidates ({n} rows)")
+        raise ValueError(f"{n} candidates are in one of the two runs only")
 
 
 def both_ranks(reranker: DataFrame, partner: DataFrame) -> DataFrame:

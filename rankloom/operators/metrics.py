@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +32,9 @@ def gain_at(rank: str, value: Column) -> Column:
 
 def ideal_dcg(k: int, n: Column) -> Column:
     """DCG of min(k, n) relevant items at the top."""
+    if k <= 0:
+        raise ValueError(f"a cut-off is positive, not {k}")
     sums = [0.0]
-    import math
-
     for i in range(k):
         sums.append(sums[-1] + 1 / math.log2(i + 2))
     return F.get(F.array(*[F.lit(x) for x in sums]), F.least(F.lit(k), n).cast("int"))

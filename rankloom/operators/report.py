@@ -41,7 +41,7 @@ def check_aligned(per_user: DataFrame, base: str = "l1_order") -> None:
     """Every model must cover the baseline's users; its other users are dropped later."""
     users = per_user.where(F.col("model") == base).select("user_id")
     if not users.head(1):
-        raise ValueError(f"score {base} first: every comparison is against it")
+        raise ValueError(f"without a run of {base} there is nothing to compare with")
     want = per_user.select("model").distinct().crossJoin(users)  # models are few
     if n := want.join(per_user.select("model", "user_id"), ["model", "user_id"], "left_anti").count():
         raise ValueError(f"{n} users are missing from some run")
@@ -83,6 +83,17 @@ def graded_leaderboard(per_query: DataFrame, n_resamples: int = schemas.N_RESAMP
     return leaderboard(per_query.withColumnRenamed("query_id", "user_id"), None, "p@10", GRADED, n_resamples, seed)
 
 
+def cost_per_thousand(cost_usd: Column, queries: Column) -> Column:
+    """What a thousand queries cost; null if the cost is not known or nothing was asked."""
+    return 1000 * cost_usd / F.nullif(queries, F.lit(0))
+
+
+def positives_by_channel(pool: DataFrame, positives: DataFrame, m: int = schemas.EVAL_M) -> DataFrame:
+    """(source, positives, share): which channel the positives among the first m candidates came from."""
+    n = pool.where(F.col("rank") < m).join(positives, ["user_id", "item_id"], "left_semi").groupBy("source").agg(F.count("*").alias("positives"))
+    return n.crossJoin(n.agg(F.sum("positives").alias("all"))).select("source", "positives", (F.col("positives") / F.col("all")).alias("share"))  # one row
+
+
 def diagnose(pool: DataFrame, positives: DataFrame, scores: DataFrame, k: int = 10) -> DataFrame:
     """(model, source, topk_share, pos_mean_rank, pos_in_topk): where each model takes its first k from, by channel.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +9,9 @@ from .. import schemas
 from ..functions.hashing import draw
 from ..storage import stored
 
+#: Differences (users times models) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+
 
 def numbered(users: DataFrame, buckets: int = 256) -> DataFrame:
     """(user_id, i): a number from 0 without gaps, in order of (bucket of the id's md5, id).
@@ -26,14 +28,18 @@ def paired_bootstrap(diffs: DataFrame, n_resamples: int = schemas.N_RESAMPLES, s
     """(model, b, mean): bootstrap means of paired differences from (model, user_id, diff).
 
     Users are numbered (see numbered); resample b draws position i as md5(seed:b:i) modulo their number, the same
-    for all models. Draws are made and summed as rows, so neither users nor resamples gather in one task.
-    Means are rounded to 12 places: sums of equal values in another order must not fall to either side of zero.
+    for all models. The users' differences are broadcast to the draws if they are few (their number is checked),
+    so that a task sums its own draws and next to nothing is shuffled; otherwise draws are counted by user and
+    joined. Neither users nor resamples gather in one task. Means are rounded to 12 places: sums of equal values in another order must not fall to either side of zero.
     """
     users = diffs.select("user_id").distinct()
     n = users.agg(F.count("*").alias("n"))
     draws = n.sparkSession.range(n_resamples).select(F.col("id").alias("b")).crossJoin(F.broadcast(n))  # n is one row
     draws = draws.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"), "n").select("b", (draw(F.lit(seed), F.col("b"), F.col("k")) % F.col("n")).alias("i"))
-    values = diffs.join(numbered(users), "user_id").select("i", "model", "diff")
+    values = stored(diffs.join(numbered(users), "user_id").select("i", "model", "diff"))
+    if values.count() <= BROADCAST_ROWS:
+        drawn = draws.join(F.broadcast(values), "i")
+        return drawn.groupBy("model", "b").agg(F.round(F.sum("diff") / F.count("*"), 12).alias("mean"))
     counted = draws.groupBy("b", "i").agg(F.count("*").alias("times"))
     return counted.join(values, "i").groupBy("model", "b").agg(F.round(F.sum(F.col("diff") * F.col("times")) / F.sum("times"), 12).alias("mean"))
 
@@ -74,13 +80,3 @@ def compare_to_baseline(diffs: DataFrame, n_resamples: int = schemas.N_RESAMPLES
     half = (1 - F.col("ci_level")) / 2
     out = tested.join(sorted_, "model").join(means, "model")
     return out.select("model", "mean_diff", "p", "p_holm", "ci_level", quantile_of("boot", half).alias("ci_low"), quantile_of("boot", 1 - half).alias("ci_high"), ((F.col("p_holm") < schemas.SIGNIFICANCE) & (F.col("mean_diff") > 0)).alias("significant"))
-
-
-def numpy_bootstrap(model: np.ndarray, baseline: np.ndarray, n_resamples: int = schemas.N_RESAMPLES, seed: int = 0) -> tuple[float, np.ndarray]:
-    """The same for two aligned arrays on one machine, with NumPy's own generator."""
-    a, b = np.asarray(model, float), np.asarray(baseline, float)
-    if a.ndim != 1 or a.shape != b.shape:
-        raise ValueError("two arrays of one value a user are needed")
-    apart = a - b
-    picked = np.random.default_rng(seed).integers(0, len(apart), size=(n_resamples, len(apart)))
-    return float(apart.mean()), apart[picked].mean(axis=1)

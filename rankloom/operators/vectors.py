@@ -1,4 +1,4 @@
-"""User vectors, exact and hashed nearest neighbours, and their overlap."""
+"""User vectors, nearest neighbours exactly and by compact codes, and their overlap."""
 
 from __future__ import annotations
 
@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.hashing import normalize
+from ..storage import stored
 from .channels import recency_weight
 from .timeline import history, liked_or_all
 
-#: Queries and items of a block of the matrix product; query rows that are multiplied at a time.
-QUERY_BLOCK, ITEM_BLOCK, ROWS = 1024, 16384, 128
+#: Queries of a block, bytes of an item block's vectors, query rows that are multiplied at a time.
+QUERY_BLOCK, ITEM_BYTES, ROWS = 8192, 32 << 20, 128
+#: Bits of a vector's code, and how many times k candidates the codes choose for the exact ranking.
+CODE_BITS, OVERFETCH = 512, 4
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -38,15 +41,22 @@ def user_vectors(ratings: DataFrame, cohort: DataFrame, item_vecs: DataFrame, ha
 def require_vectors(cohort: DataFrame, found: DataFrame) -> None:
     """Raise if a cohort user has no event in the catalogue."""
     if n := cohort.join(found, "user_id", "left_anti").count():
-        raise ValueError(f"{n} users have no prior interactions in the catalog")
+        raise ValueError(f"without any event on a known item: {n} users")
 
 
-def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """rows with a block number; blocks hold about `size` rows (their number comes from one count)."""
-    n = max(1, -(-rows.count() // size))
+def _blocks(rows: DataFrame, key: str, size: int, least: int = 1) -> DataFrame:
+    """rows with a block number; blocks hold about `size` rows (their number comes from one count), but there are `least` at least if rows allow."""
+    count = rows.count()
+    n = max(1, -(-count // size), min(least, -(-count // ROWS)))
     return rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
 
 
+def _item_block(items: DataFrame, vec: str, bytes_: int = ITEM_BYTES) -> int:
+    """Items whose vectors of doubles fill about so many bytes."""
+    first = items.where(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    return max(ROWS, bytes_ // (8 * max(1, first[0] if first else 1)))
+
+
 def best_of(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of each row in order, ties by column; scores are multiples of 1e-9 or so."""
     n = scores.shape[1]
@@ -58,16 +68,20 @@ def best_of(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-scores, axis=1, kind="stable")[:, :k]
 
 
-def exact_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "item_id", vec: str = "v", query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK, extra: str | None = None, digits: int = 9) -> DataFrame:
+def exact_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "item_id", vec: str = "v", query_block: int = QUERY_BLOCK, item_block: int | None = None, extra: str | None = None, digits: int = 9) -> DataFrame:
     """(query, item, score, rank): the k items of the highest inner product, rank from 0; ties by item.
 
     Scores are rounded to `digits` places first, so that equal vectors tie whatever the block they are in.
     Both sides are cut into blocks of a bounded size; each pair of blocks is one matrix product and gives its
     own top k (plus the query's number in the column `extra`, for rows that a later filter takes away); the
-    best of these are ranked for each query. Queries with a null vector have no neighbours.
+    best of these are ranked for each query. Items move once for each query_block queries, queries once for
+    each item block, which is as large as memory allows (ITEM_BYTES) but leaves work for every core. Queries
+    with a null vector have no neighbours.
     """
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    item_block = item_block or _item_block(items, vec)
     q = _blocks(queries.where(F.col(vec).isNotNull()).select(F.col(query).alias("id"), (F.col(extra) if extra else F.lit(0)).cast("long").alias("x"), F.col(vec).cast("array<double>").alias("v")), "id", query_block)
-    i = _blocks(items.where(F.col(vec).isNotNull()).select(F.col(item).alias("id"), F.col(vec).cast("array<double>").alias("v")), "id", item_block)
+    i = _blocks(items.where(F.col(vec).isNotNull()).select(F.col(item).alias("id"), F.col(vec).cast("array<double>").alias("v")), "id", item_block, cores)
     q_blocks, i_blocks = (df.select(F.col("block").alias("other")).distinct() for df in (q, i))
     # Rows go to every block of the other side: (block pair) is the unit of work.
     left = q.crossJoin(i_blocks).select(F.col("block").alias("qb"), F.col("other").alias("ib"), "id", "x", "v")
@@ -79,7 +93,7 @@ def exact_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "query
         return v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
     def product(a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.sort_by("id")
+        a, b = a.sort_by("x"), b.sort_by("id")  # queries that need about as many stand together
         rows, columns, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if a.num_rows and b.num_rows:
             left_v, right_v, need = matrix(a), matrix(b).T.copy(), k + a.column("x").to_numpy()
@@ -104,6 +118,20 @@ def exact_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "query
     return ranked.select(F.col("q").alias(query), F.col("i").alias(item), "score", "rank")
 
 
+def count_from(first: DataFrame, times: DataFrame) -> DataFrame:
+    """(query_time, n_late): items first seen at each time or later, for distinct query times.
+
+    Days are counted and summed up from the last one (a row for each day); within its own day a query time
+    meets the items by equality of the day.
+    """
+    day = lambda c: F.to_date(F.col(c)).alias("day")
+    per_day = first.groupBy(day("first_seen")).agg(F.count("*").alias("n"))
+    marks = per_day.unionByName(times.select(day("query_time"), F.lit(0).cast("long").alias("n"))).groupBy("day").agg(F.sum("n").alias("n"))
+    after = marks.select("day", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("after"))
+    own = times.select("query_time", day("query_time")).join(first.select("first_seen", day("first_seen")), "day").where("first_seen >= query_time").groupBy("query_time").agg(F.count("*").alias("same"))
+    return times.select("query_time", day("query_time")).join(after, "day").join(own, "query_time", "left").select("query_time", (F.col("after") + F.coalesce("same", F.lit(0))).alias("n_late"))
+
+
 def dense_topm(users: DataFrame, items: DataFrame, first: DataFrame, seen: DataFrame, m: int, *settings: str) -> DataFrame:
     """The dense channel's lists: top m eligible items by inner product with (settings, user_id, query_time, v).
 
@@ -115,7 +143,7 @@ def dense_topm(users: DataFrame, items: DataFrame, first: DataFrame, seen: DataF
     last = users.agg(F.max("query_time").alias("last"))
     usable_first = first.crossJoin(last).where("first_seen < last").drop("last")  # last is one row
     # Per user: own seen items and, where query times differ, items that come after the own one.
-    late = usable_first.join(users.select("query_time").distinct(), F.col("first_seen") >= F.col("query_time")).groupBy("query_time").agg(F.count("*").alias("n_late"))
+    late = count_from(usable_first, users.select("query_time").distinct())
     n_seen = seen.groupBy("user_id").agg(F.count("*").alias("n_seen"))
     named = users.withColumn("q", F.concat_ws("|", *keys)) if settings else users.withColumn("q", F.col("user_id"))
     q = named.join(n_seen, "user_id", "left").join(late, "query_time", "left").withColumn("more", F.coalesce("n_seen", F.lit(0)) + F.coalesce("n_late", F.lit(0)))
@@ -125,27 +153,80 @@ def dense_topm(users: DataFrame, items: DataFrame, first: DataFrame, seen: DataF
     return open_.withColumn("rank", place.cast("long")).where(F.col("rank") < m).select(*settings, "user_id", "query_time", "rank", "item_id", F.col("score").alias("l1_score"))
 
 
-def lsh_topk(queries: DataFrame, items: DataFrame, k: int, dims: int, tables: int = 16, bits: int = 4, overfetch: int = 4, query: str = "query_id", item: str = "item_id", seed: int = 0) -> DataFrame:
-    """Approximate top k by random hyperplanes: candidates share a bucket in some table, then are scored exactly.
+def code_planes(bits: int, dims: int, seed: int = 0) -> np.ndarray:
+    """bits x dims signs by md5 draws of (seed, bit, dimension), the same in any engine."""
+    import hashlib
+
+    return np.array([[1.0 if int(hashlib.md5(f"{seed}:{b}:{d}".encode()).hexdigest()[7], 16) % 2 else -1.0 for d in range(dims)] for b in range(bits)])
+
 
-    Buckets are probed within one flipped bit. Keeps the contract of over-fetching: k * overfetch candidates
-    are ranked, of which a caller may filter before taking k.
+def code_topk(queries: DataFrame, items: DataFrame, k: int, dims: int, bits: int = CODE_BITS, overfetch: int = OVERFETCH, query: str = "query_id", item: str = "item_id", vec: str = "v", seed: int = 0) -> DataFrame:
+    """Approximate top k by compact codes: (query, item, score, rank) of the k * overfetch candidates of each query, ranked exactly.
+
+    A vector's code has a bit for the side of each random hyperplane it lies on (64 bytes at 512 bits, however
+    long the vector). Every item is indexed; blocks of codes are compared by exclusive-or and bit counts, and
+    each pair of blocks gives a query's k * overfetch nearest codes (ties by item). Of all of these the nearest
+    k * overfetch meet the vectors: that share of the items alone is scored exactly. Callers may filter
+    candidates before they take k. Unlike buckets of a hash, a scan of codes keeps its recall on vectors
+    without clusters; it costs a small fraction of the products' work and traffic, and grows with
+    queries x items as those do.
     """
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dims))
-
-    def keys(v: Column) -> Column:
-        one = lambda t: sum((F.when(dot(v, F.lit(planes[t, b].tolist())) >= 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(1, bits)), F.when(dot(v, F.lit(planes[t, 0].tolist())) >= 0, F.lit(1)).otherwise(F.lit(0)))
-        return F.array(*[F.struct(F.lit(t).alias("t"), one(t).alias("b")) for t in range(tables)])
-
-    i = items.select(F.col(item).alias("i"), F.col("v").alias("iv"), F.explode(keys(F.col("v"))).alias("key")).select("i", "iv", "key.t", "key.b")
-    flips = F.array(F.lit(0), *[F.lit(1 << b) for b in range(bits)])
-    q = queries.select(F.col(query).alias("q"), F.col("v").alias("qv"), F.explode(keys(F.col("v"))).alias("key")).select("q", "qv", "key.t", "key.b", F.explode(flips).alias("f"))
-    q = q.select("q", "qv", "t", F.col("b").bitwiseXOR(F.col("f")).alias("b"))
-    met = q.select("q", "t", "b").join(i.select("i", "t", "b"), ["t", "b"]).select("q", "i").distinct()
-    scored = met.join(queries.select(F.col(query).alias("q"), F.col("v").alias("qv")), "q").join(items.select(F.col(item).alias("i"), F.col("v").alias("iv")), "i")
-    scored = scored.select("q", "i", F.round(dot("qv", "iv"), 9).alias("score"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i")) - 1
-    return scored.withColumn("rank", place.cast("long")).where(F.col("rank") < k * overfetch).select(F.col("q").alias(query), F.col("i").alias(item), "score", "rank")
+    planes, most = code_planes(bits, dims, seed), k * overfetch
+
+    def coded(rows: DataFrame, id_col: str, size: int, least: int = 1) -> DataFrame:
+        kind = dict(rows.dtypes)[id_col]
+
+        def run(batches):  # noqa: ANN001, ANN202
+            for b in batches:
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                code = np.packbits(np.round(v @ planes.T, 9) >= 0, axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(bytes, code)), pa.binary())], names=["id", "code"])
+
+        found = rows.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).mapInArrow(run, f"id {kind}, code binary")
+        return _blocks(stored(found), "id", size, least)
+
+    q, i = coded(queries, query, QUERY_BLOCK), coded(items, item, ITEM_BYTES // (bits // 8), queries.sparkSession.sparkContext.defaultParallelism)
+    q_blocks, i_blocks = (df.select(F.col("block").alias("other")).distinct() for df in (q, i))
+    left = q.crossJoin(i_blocks).select(F.col("block").alias("qb"), F.col("other").alias("ib"), "id", "code")
+    right = i.crossJoin(q_blocks).select(F.col("other").alias("qb"), F.col("block").alias("ib"), "id", "code")
+    q_kind, i_kind = dict(queries.dtypes)[query], dict(items.dtypes)[item]
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("id")
+        words = lambda t: np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        rows, columns, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if a.num_rows and b.num_rows:
+            x, y = words(a), words(b)
+            for at in range(a.num_rows):
+                apart = np.bitwise_count(y ^ x[at]).sum(axis=1, dtype=np.int64)
+                key = apart * len(y) + np.arange(len(y))  # distance, then the item
+                near = np.sort(np.argpartition(key, most)[:most] if most < len(y) else np.arange(len(y)))
+                rows.append(np.full(len(near), at))
+                columns.append(near)
+                far.append(apart[near])
+        return pa.table({"q": a.column("id").take(pa.array(np.concatenate(rows))), "i": b.column("id").take(pa.array(np.concatenate(columns))), "apart": pa.array(np.concatenate(far))})
+
+    near = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(compare, f"q {q_kind}, i {i_kind}, apart long")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("apart", "i"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= most)
+    met = chosen.join(queries.select(F.col(query).alias("q"), F.col(vec).alias("qv")), "q").join(items.select(F.col(item).alias("i"), F.col(vec).alias("iv")), "i")
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i")) - 1
+    scored = met.select("q", "i", F.round(dot("qv", "iv"), 9).alias("score")).withColumn("rank", best.cast("long"))
+    return scored.select(F.col("q").alias(query), F.col("i").alias(item), "score", "rank")
+
+
+def approximate_topm(users: DataFrame, items: DataFrame, first: DataFrame, seen: DataFrame, m: int, dims: int, overfetch: int = OVERFETCH) -> tuple[DataFrame, DataFrame]:
+    """The dense channel by code_topk: its lists of up to m eligible items, and (user_id, n) of the users left short of m.
+
+    Eligibility is asked after the search, of m * overfetch candidates, as an index that cannot filter does.
+    """
+    near = code_topk(users, items, m, dims, overfetch=overfetch, query="user_id")
+    open_ = near.drop("rank").join(users.select("user_id", "query_time"), "user_id").join(first, "item_id").where("first_seen < query_time").join(seen, ["user_id", "item_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")) - 1
+    lists = stored(open_.withColumn("rank", place.cast("long")).where(F.col("rank") < m).select("user_id", "query_time", "rank", "item_id", F.col("score").alias("l1_score")))
+    had = lists.groupBy("user_id").agg(F.count("*").alias("n"))
+    short = users.select("user_id").join(had, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < m)
+    return lists, short
 
 
 def overlap_at_k(a: DataFrame, b: DataFrame, k: int, query: str = "query_id", item: str = "item_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import tables  # noqa: F401  (registers its queries)
 from .oracle import ORACLE_SQL
 from .queries import QUERIES, flagship
 

@@ -76,6 +76,33 @@ def draw(*parts: str) -> str:
     return _DRAW.format(" || ':' || ".join(f"({p})::varchar" for p in parts))
 
 
+def merge_parts(name: str, split: str, channels: tuple[str, ...], m: int = 100) -> dict[str, str]:
+    """The merge of channels' lists, turn by turn: a fold over m turns of each channel."""
+    pool = {"dense": f"select user_id, query_time, rank, item_id from dense_{split} where half_life = 180", "pop": f"select user_id, query_time, rank, item_id from poppool_{split}", "cooc": f"select user_id, query_time, rank, item_id from coocpool_{split}"}
+    k = len(channels)
+    every = " union all ".join(f"select {c} as c, * from ({pool[n]}) p{c}" for c, n in enumerate(channels))
+    lists = ", ".join(f"coalesce(list(item_id order by rank) filter (c = {c}), []) as l{c}" for c in range(k))
+    pick = "case x.t % " + str(k) + " " + " ".join(f"when {c} then l{c}" for c in range(k)) + " end"
+    source = "case unnest(s.src) " + " ".join(f"when {c} then '{n}'" for c, n in enumerate(channels)) + " end"
+    empty = "{'out': []::bigint[], 'src': []::int[], 't': %s}"
+    return {
+        f"{name}_lists": f"select user_id, query_time, {lists} from ({every}) e group by all",
+        f"{name}_folded": f"""
+          select user_id, query_time, list_reduce(list_transform(range(0, {k * m}), lambda t: {empty % 't::int'}),
+            lambda s, x: case when len(s.out) >= {m} then s else list_transform([list_filter({pick}, lambda y: not list_contains(s.out, y))[1]],
+              lambda n: case when n is null then s else {{'out': list_append(s.out, n), 'src': list_append(s.src, x.t % {k}), 't': x.t}} end)[1] end,
+            {empty % '-1::int'}) as s from {name}_lists""",
+        name: f"""
+          select user_id, query_time, rank, item_id, 1.0::double / (rank + 1) as l1_score, source from (
+            select user_id, query_time, generate_subscripts(s.out, 1) - 1 as rank, unnest(s.out) as item_id, {source} as source from {name}_folded) m""",
+    }
+
+
+PARTS |= merge_parts("merged", "test", ("dense", "pop"))
+PARTS |= merge_parts("merged_dp", "valid", ("dense", "pop"))
+PARTS |= merge_parts("merged_dc", "valid", ("dense", "cooc"))
+PARTS |= merge_parts("merged_cp", "valid", ("cooc", "pop"))
+PARTS |= merge_parts("merged_dcp", "valid", ("dense", "cooc", "pop"))
 PARTS |= {
     "queries": "select vec_id as query_id, v, label as qlabel from vecs where vec_id % 25 = 0",
     "qrels": """
@@ -85,22 +112,6 @@ PARTS |= {
     "knn": """
       select query_id, vec_id as product_id, round(list_dot_product(q.v, x.v), 9) as l1_score, row_number() over (partition by query_id order by l1_score desc, vec_id) - 1 as rank
       from queries q join vecs x on query_id <> vec_id qualify rank < 100""",
-    # The merge of two lists, turn by turn: dense takes even turns, popularity odd ones.
-    "lists": """
-      select user_id, query_time, 0 as c, list(item_id order by rank) as l from dense_test where half_life = 180 and rank < 40 group by all
-      union all select user_id, query_time, 1, list(item_id order by rank) from poppool_test where rank < 40 group by all""",
-    "both_lists": """
-      select user_id, query_time, coalesce(max(l) filter (c = 0), []) as l0, coalesce(max(l) filter (c = 1), []) as l1 from lists group by all""",
-    "turns": """
-      select user_id, query_time, l0, l1, []::bigint[] as out, []::int[] as src, 0 as turn from both_lists
-      union all
-      select user_id, query_time, l0, l1,
-        case when nxt is null or len(out) >= 20 then out else list_append(out, nxt) end,
-        case when nxt is null or len(out) >= 20 then src else list_append(src, turn % 2) end, turn + 1
-      from (select *, list_filter(case when turn % 2 = 0 then l0 else l1 end, lambda x: not list_contains(out, x))[1] as nxt from turns where turn < 40) t""",
-    "merged": """
-      select user_id, query_time, rank, item_id, 1.0::double / (rank + 1) as l1_score, source from (
-        select user_id, query_time, generate_subscripts(out, 1) - 1 as rank, unnest(out) as item_id, case unnest(src) when 0 then 'dense' else 'pop' end as source from turns where turn = 40) m""",
     "pool": "select * from poppool_test",
     "evalusers": "select distinct user_id from pool semi join positives_test using (user_id, item_id)",
     "evalpos": "select * from positives_test semi join evalusers using (user_id)",
@@ -151,7 +162,7 @@ def boot_parts(source: str, key: str, metric: str, resamples: int) -> dict[str,
     }
 
 
-PARTS |= boot_parts("per_user", "user_id", "ndcg_10", 200)
+PARTS |= boot_parts("per_user", "user_id", "ndcg_10", 10_000)
 
 
 def graded_parts(runs: str) -> dict[str, str]:
@@ -200,26 +211,30 @@ def statement(select: str, parts: dict[str, str] | None = None) -> str:
     import re
 
     every = {k: v for k, v in PARTS.items() if k not in (parts or {})} | (parts or {})
-    names = list(every)
-    needed: set[str] = set()
+    ordered: list[str] = []  # each after those it is built on
 
     def need(sql: str, own: str) -> None:
-        for n in names:
-            if n != own and n not in needed and re.search(rf"\b{n}\b", sql):
-                needed.add(n)
+        for n in every:
+            if n != own and n not in ordered and n not in open_ and re.search(rf"\b{n}\b", sql):
+                open_.add(n)
                 need(every[n], n)
+                ordered.append(n)
 
+    open_: set[str] = set()
     need(select, "")
-    ctes = ", ".join(f"{n} as ({every[n]})" for n in names if n in needed)
+    ctes = ", ".join(f"{n} as ({every[n]})" for n in ordered)
     return f"with recursive {ctes} {select}" if ctes else select
 
 
-_SCREEN = """
-  select category, users, items, ratings, eligible_valid_users, round(unreachable_share, 6) + 0.0 as unreachable_share, round(recall_100, 6) + 0.0 as recall_100, round(users_with_pos_100, 6) + 0.0 as users_with_pos_100, eligible_test_users, floor(users_with_pos_100 * eligible_test_users)::bigint as est_test_eval_users
+_POOLS = (("pop", "poppool_valid"), ("cooc", "coocpool_valid"), ("cooc_pop", "merged_cp"))
+_SCREEN = f"""
+  select category, users, items, ratings, eligible_valid_users, eligible_test_users, {r6("positives_per_user", "unreachable_share", *[f"{n}_{c}" for n, _ in _POOLS for c in ("recall_100", "users_with_pos_100")])},
+    floor(greatest({", ".join(f"{n}_users_with_pos_100" for n, _ in _POOLS)}) * eligible_test_users + 1e-9)::bigint as est_test_eval_users
   from (select c_mktsegment as category, count(distinct user_id) as users, count(distinct item_id) as items, count(*) as ratings from ratings join customer on c_custkey = user_id group by 1) a
-  join (select category, count(*) as eligible_valid_users, sum(new) / sum(n) as unreachable_share, avg(found / n) as recall_100, avg((found > 0)::int) as users_with_pos_100 from (
-    select c_mktsegment as category, user_id, count(*) as n, count(rank) as found, count(*) filter (not coalesce(first_seen < query_time, false)) as new
-    from positives_valid join (select user_id, query_time from cohort_valid) c using (user_id) join customer on c_custkey = user_id left join first_seen using (item_id) left join (select user_id, item_id, rank from poppool_valid) p using (user_id, item_id) group by 1, 2) x group by category) b using (category)
+  join (select category, count(*) as eligible_valid_users, avg(n) as positives_per_user, sum(new) / sum(n) as unreachable_share, {", ".join(f"avg({n} / n) as {n}_recall_100, avg(({n} > 0)::int) as {n}_users_with_pos_100" for n, _ in _POOLS)} from (
+    select c_mktsegment as category, user_id, count(*) as n, {", ".join(f"count(r_{n}) as {n}" for n, _ in _POOLS)}, count(*) filter (not coalesce(first_seen < query_time, false)) as new
+    from positives_valid join (select user_id, query_time from cohort_valid) c using (user_id) join customer on c_custkey = user_id left join first_seen using (item_id)
+      {" ".join(f"left join (select user_id, item_id, rank as r_{n} from {t}) p_{n} using (user_id, item_id)" for n, t in _POOLS)} group by 1, 2) x group by category) b using (category)
   join (select c_mktsegment as category, count(*) as eligible_test_users from cohort_test join customer on c_custkey = user_id group by 1) c using (category)"""
 _SOUND = """
   select '{name}' as pool, (select count(*) from {pool} p join ratings r using (user_id, item_id) where r.ts < p.query_time) as seen,
@@ -277,11 +292,11 @@ ORACLE_SQL: dict[str, str] = {
     "source_share": statement("select source, round(count(*) / (select count(*) from merged), 4) + 0.0 as share from merged group by source"),
     "leakage_audit": statement(_SOUND.format(name="sound", pool="pool") + " union all " + _SOUND.format(name="planted", pool="planted"), {"planted": "select user_id, query_time, rank, item_id from pool union all select user_id, query_time, 7, item_id from seen_test join (select user_id, query_time from cohort_test) c using (user_id)"}),
     "profile_audit": statement("select count(*) filter (ts >= query_time) as late_events from ratings join cohort_test using (user_id)"),
-    "split_cut_check": statement("select train_first, train_last, valid_first, valid_last, test_first, test_last, train_last < v and v <= valid_first and valid_last < t and t <= test_first as ok from (select v, t, min(ts) filter (ts < v) as train_first, max(ts) filter (ts < v) as train_last, min(ts) filter (ts >= v and ts < t) as valid_first, max(ts) filter (ts >= v and ts < t) as valid_last, min(ts) filter (ts >= t) as test_first, max(ts) filter (ts >= t) as test_last from ratings, cuts group by v, t) x"),
+    "split_cut_check": statement(" union all ".join(f"select '{name}' as log, train_first, train_last, valid_first, valid_last, test_first, test_last, train_last < v and v <= valid_first and valid_last < t and t <= test_first as ok from (select v, t, " + ", ".join(f"{f}(ts) filter ({c}) as {k}_{e}" for k, c in tags.items() for e, f in (("first", "min"), ("last", "max"))) + " from ratings, cuts group by v, t) x" for name, tags in (("sound", {"train": "ts < v", "valid": "ts >= v and ts < t", "test": "ts >= t"}), ("planted", {"train": "ts < v or (ts >= t and user_id % 50 = 0)", "valid": "ts >= v and ts < t", "test": "ts >= t and user_id % 50 <> 0"})))),
     "recall_table": statement(recalls("poppool200_test", "cohort_test", "positives_test", (50, 100, 200))),
     "positive_reachability": statement("select count(distinct user_id) as n_users, count(*) as n_positives, round(avg(new), 6) + 0.0 as share_not_yet_available, round(avg(again), 6) + 0.0 as share_already_seen, round(1 - (sum(new) + sum(again)) / count(*), 6) + 0.0 as max_reachable_share from (select p.user_id, (not coalesce(first_seen < query_time, false))::int as new, (s.item_id is not null)::int as again from positives_test p join (select user_id, query_time from cohort_test) c using (user_id) left join first_seen using (item_id) left join seen_test s on s.user_id = p.user_id and s.item_id = p.item_id) x"),
     "half_life_sweep": statement(recalls("dense_valid", "cohort_valid", "positives_valid", (50, 100), "half_life")),
-    "channel_compare": statement(recalls("chan", "cohort_valid", "positives_valid", (50, 100), "channel"), {"chan": "select 'pop' as channel, user_id, item_id, rank from poppool_valid union all select 'cooc', user_id, item_id, rank from coocpool_valid union all select 'dense', user_id, item_id, rank from dense_valid where half_life = 180"}),
+    "channel_compare": statement(recalls("chan", "cohort_valid", "positives_valid", (50, 100), "channel"), {"chan": "select 'pop' as channel, user_id, item_id, rank from poppool_valid union all select 'cooc', user_id, item_id, rank from coocpool_valid union all select 'dense', user_id, item_id, rank from dense_valid where half_life = 180" + "".join(f" union all select '{label}', user_id, item_id, rank from {part}" for label, part in (("dense+pop", "merged_dp"), ("dense+cooc", "merged_dc"), ("cooc+pop", "merged_cp"), ("dense+cooc+pop", "merged_dcp")))}),
     "category_screen": statement(_SCREEN),
     "eval_cohort": statement("select user_id from evalusers"),
     **{f"score_{m}": statement(f"select user_id, {r6(*_BINARY)} from per_user where model = '{m}'") for m in ("l1_order", "popularity", "oracle", "random")},
@@ -308,7 +323,7 @@ ORACLE_SQL: dict[str, str] = {
     "paired_bootstrap": statement("select model, b, round(mean, 6) + 0.0 as mean from boot where model = 'random'"),
     "holm_table": statement(f"select model, {r6('mean_diff', 'p', 'p_holm', 'ci_level', 'ci_low', 'ci_high')}, significant from compared"),
     "leaderboard": statement("select model, " + ", ".join(f"round(avg({m}), 6) + 0.0 as {m}" for m in _BINARY) + ", round(sum(ndcg_10) / (select count(*) from cohort_test), 6) + 0.0 as ndcg_10_all_users, round(any_value(c.mean_diff), 6) + 0.0 as diff_vs_l1, round(any_value(ci_low), 6) + 0.0 as ci_low, round(any_value(ci_high), 6) + 0.0 as ci_high, round(any_value(p_holm), 6) + 0.0 as p_holm, any_value(significant) as beats_l1 from per_user left join compared c using (model) group by model"),
-    "leaderboard_graded": statement("select model, " + ", ".join(f"round(avg({m}), 6) + 0.0 as {m}" for m in _GRADED) + ", round(any_value(c.mean_diff), 6) + 0.0 as diff_vs_l1, round(any_value(ci_low), 6) + 0.0 as ci_low, round(any_value(ci_high), 6) + 0.0 as ci_high, round(any_value(p_holm), 6) + 0.0 as p_holm, any_value(significant) as beats_l1 from gper left join compared c using (model) group by model", graded_parts(_GRADED_RUNS) | boot_parts("gper", "query_id", "p_10", 200)),
+    "leaderboard_graded": statement("select model, " + ", ".join(f"round(avg({m}), 6) + 0.0 as {m}" for m in _GRADED) + ", round(any_value(c.mean_diff), 6) + 0.0 as diff_vs_l1, round(any_value(ci_low), 6) + 0.0 as ci_low, round(any_value(ci_high), 6) + 0.0 as ci_high, round(any_value(p_holm), 6) + 0.0 as p_holm, any_value(significant) as beats_l1 from gper left join compared c using (model) group by model", graded_parts(_GRADED_RUNS) | boot_parts("gper", "query_id", "p_10", 10_000)),
     "rating5_sensitivity": statement(recalls("poppool200_test", "cohort_test", "five", (50, 100, 200)), {"five": "select distinct user_id, item_id from ratings semi join cohort_test using (user_id), cuts where ts >= t and rating >= 5"}),
     "clean_html": f"select page_id, {clean('html')} as text from pages",
     "product_text": _PTEXT,
@@ -320,11 +335,17 @@ ORACLE_SQL: dict[str, str] = {
     "label_stats": statement("select round(quantile_cont(n, 0.5), 6) + 0.0 as judged_median, round(avg(e), 6) + 0.0 as exact_mean, count(*) as queries, " + ", ".join(f"(select round(count(*) filter (label = '{s}') / count(*), 6) + 0.0 from qrels) as share_{s.lower()}" for s in "ESCI") + " from (select query_id, count(*) as n, count(*) filter (label = 'E') as e from qrels group by query_id) x"),
     "length_stats": f"select count(*) as count, round(avg(n), 6) + 0.0 as mean, round(stddev_samp(n), 6) + 0.0 as std, min(n) as min, " + ", ".join(f"round(quantile_cont(n, {q}), 6) + 0.0 as p{int(q * 100)}" for q in (0.25, 0.5, 0.75, 0.95)) + f", max(n) as max, count(*) filter (n = 0) as empty from (select len({words('text')}) as n from documents) x",
     "hash_embedding": f"select item_id, dim, round(x / sqrt(sum(x * x) over (partition by item_id)), 6) + 0.0 as x from (select item_id, dim, count(w) + 1e-6::double as x from (select p_partkey as item_id, d.dim, w from (select p_partkey, unnest({words('lower(p_name)')}) as w from part) p right join (select p_partkey as k, dim from part, range(0, 64) r(dim)) d on p.p_partkey = d.k and ('0x' || right(md5(w), 2))::bigint % 64 = d.dim) y group by all) z".replace("select p_partkey as item_id, d.dim, w from (select p_partkey", "select d.k as item_id, d.dim, w from (select p_partkey"),
-    "freeze_digest": statement("select user_id, count(*) as n, sha256(string_agg(item_id::varchar, ',' order by rank)) as digest from pool group by user_id"),
+    "freeze_digest": statement(
+        "select digest, digest as digest_read, (select count(*) from pool)::bigint as rows from (select sha256(concat_ws(':', " + ", ".join(f"sum(('0x' || substr(d, {1 + 15 * k}, 15))::bigint)::varchar" for k in range(4)) + ", sum(n)::varchar)) as digest from grouped) x",
+        {
+            "grouped": "select user_id, sha256(string_agg(d, '' order by d)) as d, count(*) as n from rowed group by user_id",
+            "rowed": """select user_id, sha256('{"user_id":' || user_id || ',"query_time":"' || strftime(query_time, '%Y-%m-%dT%H:%M:%S.000') || '","rank":' || rank || ',"item_id":' || item_id || ',"l1_score":' || printf('%.1f', l1_score) || '}') as d from pool""",
+        },
+    ),
     "cost_latency": "select event_type as model, round(quantile_cont(value / 1000, 0.5), 6) + 0.0 as latency_p50, round(quantile_cont(value / 1000, 0.95), 6) + 0.0 as latency_p95, count(*) filter (event_id % 97 = 0) as failures, round(sum(length(props)) * 0.24::double / 1e6, 6) + 0.0 as cost_usd from events group by event_type",
     "preparation_report": statement(
         f"select (select count(*) from prep) as items, (select round(avg(truncated::int), 6) + 0.0 from prep) as item_truncated_share, (select count(*) from (select distinct item_id from ratings) r anti join prep using (item_id)) as items_without_metadata, (select round(avg(profile_truncated::int), 6) + 0.0 from prof) as profile_truncated_share, (select count(*) from cohort_test) as users, (select round(avg(n_pos), 6) + 0.0 from cohort_test) as positives_per_user",
-        {"prep": f"select item_id, {cut('t', 9)} from (select p_partkey as item_id, 'Title: ' || p_name || chr(10) || 'Store: ' || p_brand || chr(10) || 'Categories: ' || p_type as t from part where p_partkey % 9 > 0) x", "prof": _PROFILE},
+        {"prep": f"select item_id, {cut('t', 9)} from (select p_partkey as item_id, 'Title: ' || p_name || chr(10) || 'Store: ' || p_brand || chr(10) || 'Categories: ' || p_type as t from part) x", "prof": _PROFILE},
     ),
     "pool_sizes": statement("select count(*) as count, round(avg(n), 6) + 0.0 as mean, round(stddev_samp(n), 6) + 0.0 as std, min(n) as min, " + ", ".join(f"round(quantile_cont(n, {q}), 6) + 0.0 as p{int(q * 100)}" for q in (0.25, 0.5, 0.75)) + ", max(n) as max from (select user_id, count(*) as n from coocpool_test group by user_id) x"),
     "run_totals": "select event_type as model, count(*) filter (event_id % 97 = 0) as failures, sum(event_id % 5)::bigint as retries, string_agg(distinct 'v' || event_id % 3, ',' order by 'v' || event_id % 3) as versions from events group by event_type",
@@ -333,4 +354,35 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 ORACLE_SQL["markdown_rows"] = f"select model, printf('%.4f', p_10) as p_10, case when diff_vs_l1 is null then '—' else printf('%+.4f', diff_vs_l1) end as diff from ({ORACLE_SQL['leaderboard_graded']}) b"
-ORACLE_SQL["robustness_rule"] = f"select model, sign(diff_vs_l1) = sign(precision_10 - 0.5::double) as robust from ({ORACLE_SQL['leaderboard']}) b where diff_vs_l1 is not null"
+_SIGNS = "select model, sign(round(avg(d), 9)) as s from (select a.model, a.ndcg_10 - b.ndcg_10 as d from {0} a join {0} b using (user_id) where b.model = 'l1_order' and a.model not in ('l1_order', 'oracle')) x group by model"
+ORACLE_SQL["robustness_rule"] = statement(
+    "select model, a.s = b.s as robust from (" + _SIGNS.format("per_user") + ") a join (" + _SIGNS.format("per_five") + ") b using (model)",
+    {
+        "five": "select distinct user_id, item_id from ratings, cuts where ts >= t and rating >= 5",
+        "fivepos": "select * from five semi join (select user_id from pool join five using (user_id, item_id)) u using (user_id)",
+        "nfive": "select user_id, count(*) as n_pos from fivepos group by user_id",
+        "per_five": PARTS["per_user"].replace("npos", "nfive").replace("evalpos", "fivepos"),
+    },
+)
+PARTS |= {
+    "planes": f"select b, list(case when {draw('0', 'b', 'd')} % 2 = 1 then 1.0 else -1.0 end order by d)::double[] as p from range(0, 512) r(b), range(0, 64) t(d) group by b",
+    "codes": "select vec_id, list(round(list_dot_product(v, p), 9) >= 0 order by b) as code from vecs, planes group by vec_id",
+    "apart": """
+      select q.query_id, c.vec_id, len(list_filter(list_zip(k.code, c.code), lambda z: z[1] <> z[2])) as apart
+      from queries q join codes k on k.vec_id = q.query_id, codes c""",
+}
+
+
+def coded(k: int) -> str:
+    """The candidates of a search by codes, with their exact scores and ranks."""
+    return f"""
+      select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) - 1 as rank from (
+        select a.query_id, a.vec_id, round(list_dot_product(q.v, x.v), 9) as score
+        from (select * from apart qualify row_number() over (partition by query_id order by apart, vec_id) <= {4 * k}) a join queries q on q.query_id = a.query_id join vecs x on x.vec_id = a.vec_id) s"""
+
+
+ORACLE_SQL["code_candidates"] = statement("select query_id, vec_id, round(score, 9) + 0.0 as score, rank from near", {"near": coded(20)})
+ORACLE_SQL["ann_overlap"] = statement(
+    "select round(avg(n / 100), 6) + 0.0 as overlap, (select round(count(*) / (select count(*) from queries) / (select count(*) from vecs), 6) + 0.0 from near) as candidate_share from (select query_id, count(*) filter (found) as n from (select k.query_id, o.vec_id is not null as found from knn k left join other o on o.query_id = k.query_id and o.vec_id = k.product_id) x group by query_id) y",
+    {"near": coded(100), "other": "select query_id, vec_id from near where query_id <> vec_id qualify row_number() over (partition by query_id order by rank) <= 100"},
+)

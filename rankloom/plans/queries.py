@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -13,11 +13,12 @@ from ..functions import hashing, text
 from ..operators import channels, fusion, metrics, pools, report, scorers, stats, timeline, vectors
 from ..sources import views
 from ..sources.readers import keep_first
-from ..storage import stored
+from ..storage import own_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: RESAMPLES is that of the bootstrap queries with SQL; their _full forms take schemas.N_RESAMPLES and have none.
-M, RESAMPLES, DIMS = schemas.EVAL_M, 200, 64
+M, DIMS = schemas.EVAL_M, 64
+#: Merged pools that channels are compared with.
+COMBINATIONS = (("dense", "pop"), ("dense", "cooc"), ("cooc", "pop"), ("dense", "cooc", "pop"))
 
 
 def query(f: Callable[["View"], DataFrame]) -> Callable[["View"], DataFrame]:
@@ -77,8 +78,9 @@ class View:
 
     @cache
     def cooc_pool(self, split: str, m: int = M) -> DataFrame:
-        sim = channels.cooccurrence(self.ratings(), self.cohort(split))
-        scores = channels.cooccurrence_scores(sim, self.ratings(), self.cohort(split)).withColumn("score", F.round("score", 9))
+        weights = stored(channels.liked_weights(self.ratings(), self.cohort(split)))
+        sim = channels.cooccurrence(self.ratings(), self.cohort(split), weights)
+        scores = channels.cooccurrence_scores(sim, weights).withColumn("score", F.round("score", 9))
         return stored(channels.topm_from_scores(scores, self.cohort(split), self.first(), self.seen(split), m))
 
     @cache
@@ -89,9 +91,12 @@ class View:
     def dense_pool(self, split: str, m: int = M) -> DataFrame:
         return stored(vectors.dense_topm(self.users(split), self.item_vectors(), self.first(), self.seen(split), m))
 
+    def channel(self, name: str, split: str) -> DataFrame:
+        return {"dense": self.dense_pool, "pop": self.pop_pool, "cooc": self.cooc_pool}[name](split)
+
     @cache
-    def merged(self, split: str, m: int = 20) -> DataFrame:
-        return stored(channels.interleave({"dense": self.dense_pool(split, 2 * m), "pop": self.pop_pool(split, 2 * m)}, m))
+    def merged(self, split: str, names: tuple[str, ...] = ("dense", "pop")) -> DataFrame:
+        return stored(channels.interleave({n: self.channel(n, split) for n in names}, M))
 
     @cache
     def run(self, model: str, split: str = "test") -> DataFrame:
@@ -122,6 +127,11 @@ class View:
         return stored(near.select("query_id", F.col("vec_id").alias("product_id"), F.col("score").alias("l1_score"), (F.col("rank") - 1).alias("rank")))
 
 
+def _own(v: View, name: str) -> str:
+    """A place of its own in the shared folder."""
+    return own_path(v.spark, name)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["minimum_slice"](spark, sf_dir)
 
@@ -196,10 +206,32 @@ def judged_pools(v: View) -> DataFrame:
     return vectors.judged_lists(v.search_queries(), v.qrels(), items)
 
 
+def _near_codes(v: View, k: int) -> DataFrame:
+    return vectors.code_topk(v.search_queries(), v.vectors(), k, DIMS, item="vec_id")
+
+
 @query
-def lsh_overlap(v: View) -> DataFrame:
-    near = vectors.lsh_topk(v.search_queries(), v.vectors(), 101, DIMS, item="vec_id").where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("product_id"), (F.col("rank") - 1).alias("rank"))
-    return vectors.overlap_at_k(v.knn(), near, 100, item="product_id")
+def code_candidates(v: View) -> DataFrame:
+    """The candidates that compact codes choose, ranked exactly."""
+    return _near_codes(v, 20)
+
+
+@query
+def ann_overlap(v: View) -> DataFrame:
+    """How many of the exact 100 nearest the codes find, and the share of all pairs that were scored for it."""
+    found = stored(_near_codes(v, M))
+    near = found.where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("product_id"), (F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1).alias("rank"))
+    pairs = v.search_queries().agg(F.count("*").alias("q")).crossJoin(v.vectors().agg(F.count("*").alias("i")))  # one row each
+    share = found.agg(F.count("*").alias("n")).crossJoin(pairs).select((F.col("n") / F.col("q") / F.col("i")).alias("candidate_share"))
+    return vectors.overlap_at_k(v.knn(), near, M, item="product_id").crossJoin(share)
+
+
+@query
+def approximate_pool(v: View) -> DataFrame:
+    """The dense channel by codes: users, those left short of 100 candidates, and the candidates."""
+    users = v.users("test").select("user_id", "query_time", "v")
+    lists, short = vectors.approximate_topm(users, v.item_vectors(), v.first(), v.seen("test"), M, DIMS)
+    return users.agg(F.count("*").alias("users")).crossJoin(short.agg(F.count("*").alias("short"))).crossJoin(lists.agg(F.count("*").alias("candidates")))  # one row each
 
 
 @query
@@ -209,7 +241,7 @@ def interleave_pool(v: View) -> DataFrame:
 
 @query
 def source_share(v: View) -> DataFrame:
-    return channels.source_share(v.merged("test"), 20)
+    return channels.source_share(v.merged("test"))
 
 
 @query
@@ -231,9 +263,14 @@ def profile_audit(v: View) -> DataFrame:
 
 @query
 def split_cut_check(v: View) -> DataFrame:
+    """Cuts of a log tagged as it should be, and of one with rows of the test window in its training part."""
     valid, test = timeline.window("valid")
     tag = F.when(F.col("ts") < valid, "train").when(F.col("ts") < test, "valid").otherwise("test")
-    return timeline.split_cut_check(v.ratings().withColumn("source_split", tag))
+    rows = None
+    for name, wrong in (("sound", F.lit(False)), ("planted", (F.col("user_id") % 50 == 0) & (F.col("ts") >= test))):
+        one = timeline.split_cut_check(v.ratings().withColumn("source_split", F.when(wrong, "train").otherwise(tag))).withColumn("log", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 @query
@@ -255,25 +292,32 @@ def half_life_sweep(v: View) -> DataFrame:
 
 @query
 def channel_compare(v: View) -> DataFrame:
+    """Recall of every channel and every merged pool on validation."""
+    pools_ = {n: v.channel(n, "valid") for n in ("dense", "cooc", "pop")} | {"+".join(c): v.merged("valid", c) for c in COMBINATIONS}
     out = None
-    for name, pool in (("pop", v.pop_pool("valid")), ("cooc", v.cooc_pool("valid")), ("dense", v.dense_pool("valid"))):
+    for name, pool in pools_.items():
         one = pool.select(F.lit(name).alias("channel"), "user_id", "item_id", "rank")
         out = one if out is None else out.unionByName(one)
-    return metrics.recall_table(out, v.cohort("valid"), v.positives("valid"), (50, 100), "channel")
+    return metrics.recall_table(stored(out), v.cohort("valid"), v.positives("valid"), (50, 100), "channel")
 
 
 @query
 def category_screen(v: View) -> DataFrame:
-    """By market segment: sizes, eligible users, unreachable share and popularity's recall@100 on validation."""
+    """By market segment: sizes, eligible users, unreachable share, and recall@100 of three pools on validation; the best one estimates the test users."""
     segment = v.table("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("category"))
     r = v.ratings().join(segment, "user_id")
     sizes = r.groupBy("category").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("item_id").alias("items"), F.count("*").alias("ratings"))
     eligible = v.cohort("valid").select("user_id", "query_time").join(segment, "user_id")
-    pos = v.positives("valid").join(eligible, "user_id").join(v.first(), "item_id", "left").join(v.pop_pool("valid").select("user_id", "item_id", "rank"), ["user_id", "item_id"], "left")
-    per = pos.groupBy("category", "user_id").agg(F.count("*").alias("n"), F.count("rank").alias("found"), F.count_if(~F.coalesce(F.col("first_seen") < F.col("query_time"), F.lit(False))).alias("new"))
-    means = per.groupBy("category").agg(F.count("*").alias("eligible_valid_users"), (F.sum("new") / F.sum("n")).alias("unreachable_share"), F.avg(F.col("found") / F.col("n")).alias("recall_100"), F.avg((F.col("found") > 0).cast("double")).alias("users_with_pos_100"))
+    pos = v.positives("valid").join(eligible, "user_id").join(v.first(), "item_id", "left")
+    pools_ = {"pop": v.pop_pool("valid"), "cooc": v.cooc_pool("valid"), "cooc_pop": v.merged("valid", ("cooc", "pop"))}
+    for name, pool in pools_.items():
+        pos = pos.join(pool.select("user_id", "item_id", F.col("rank").alias(name)), ["user_id", "item_id"], "left")
+    per = pos.groupBy("category", "user_id").agg(F.count("*").alias("n"), *[F.count(name).alias(name) for name in pools_], F.count_if(~F.coalesce(F.col("first_seen") < F.col("query_time"), F.lit(False))).alias("new"))
+    shares = [x for name in pools_ for x in (F.avg(F.col(name) / F.col("n")).alias(f"{name}_recall_100"), F.avg((F.col(name) > 0).cast("double")).alias(f"{name}_users_with_pos_100"))]
+    means = per.groupBy("category").agg(F.count("*").alias("eligible_valid_users"), F.avg("n").alias("positives_per_user"), (F.sum("new") / F.sum("n")).alias("unreachable_share"), *shares)
     test = v.cohort("test").join(segment, "user_id").groupBy("category").agg(F.count("*").alias("eligible_test_users"))
-    return sizes.join(means, "category").join(test, "category").withColumn("est_test_eval_users", F.floor(F.col("users_with_pos_100") * F.col("eligible_test_users")))
+    best = F.greatest(*[F.col(f"{name}_users_with_pos_100") for name in pools_])
+    return sizes.join(means, "category").join(test, "category").withColumn("est_test_eval_users", F.floor(best * F.col("eligible_test_users") + 1e-9))
 
 
 @query
@@ -346,22 +390,26 @@ def _eval_per_user(v: View, *models: str) -> DataFrame:
     return stored(scorers.evaluate(v.runs(*models), v.eval_positives("test")))
 
 
-def _paired_bootstrap(v: View, resamples: int) -> DataFrame:
-    return stats.paired_bootstrap(report.differences(_eval_per_user(v, "l1_order", "random"), "ndcg@10"), resamples)
+@query
+def paired_bootstrap(v: View) -> DataFrame:
+    return stats.paired_bootstrap(report.differences(_eval_per_user(v, "l1_order", "random"), "ndcg@10"))
 
 
-def _holm_table(v: View, resamples: int) -> DataFrame:
+@query
+def holm_table(v: View) -> DataFrame:
     per = _eval_per_user(v, "l1_order", "popularity", "random", "flaky")
-    return stats.compare_to_baseline(report.differences(per, "ndcg@10"), resamples)
+    return stats.compare_to_baseline(report.differences(per, "ndcg@10"))
 
 
-def _leaderboard(v: View, resamples: int) -> DataFrame:
+@query
+def leaderboard(v: View) -> DataFrame:
     per = _eval_per_user(v, "l1_order", "popularity", "random", "flaky", "oracle")
-    board = report.leaderboard(per, v.cohort("test").agg(F.count("*").alias("n")), n_resamples=resamples)
+    board = report.leaderboard(per, v.cohort("test").agg(F.count("*").alias("n")))
     return board.toDF(*[c.replace("@", "_") for c in board.columns])
 
 
-def _leaderboard_graded(v: View, resamples: int) -> DataFrame:
+@query
+def leaderboard_graded(v: View) -> DataFrame:
     pool = v.knn()
     keep = pool.select("query_id", "product_id", F.col("rank").alias("l1_rank"))
     runs = {
@@ -373,50 +421,10 @@ def _leaderboard_graded(v: View, resamples: int) -> DataFrame:
     for name, df in runs.items():
         one = df.withColumn("model", F.lit(name))
         every = one if every is None else every.unionByName(one)
-    board = report.graded_leaderboard(stored(metrics.graded_metrics(every, v.qrels(), "model", "query_id")), resamples)
+    board = report.graded_leaderboard(stored(metrics.graded_metrics(every, v.qrels(), "model", "query_id")))
     return board.toDF(*[c.replace("@", "_") for c in board.columns])
 
 
-@query
-def paired_bootstrap(v: View) -> DataFrame:
-    return _paired_bootstrap(v, RESAMPLES)
-
-
-@query
-def paired_bootstrap_full(v: View) -> DataFrame:
-    return _paired_bootstrap(v, schemas.N_RESAMPLES)
-
-
-@query
-def holm_table(v: View) -> DataFrame:
-    return _holm_table(v, RESAMPLES)
-
-
-@query
-def holm_table_full(v: View) -> DataFrame:
-    return _holm_table(v, schemas.N_RESAMPLES)
-
-
-@query
-def leaderboard(v: View) -> DataFrame:
-    return _leaderboard(v, RESAMPLES)
-
-
-@query
-def leaderboard_full(v: View) -> DataFrame:
-    return _leaderboard(v, schemas.N_RESAMPLES)
-
-
-@query
-def leaderboard_graded(v: View) -> DataFrame:
-    return _leaderboard_graded(v, RESAMPLES)
-
-
-@query
-def leaderboard_graded_full(v: View) -> DataFrame:
-    return _leaderboard_graded(v, schemas.N_RESAMPLES)
-
-
 @query
 def rating5_sensitivity(v: View) -> DataFrame:
     """Recall of the popularity pool against top-rated positives only."""
@@ -486,9 +494,11 @@ def hash_embedding(v: View) -> DataFrame:
 
 @query
 def freeze_digest(v: View) -> DataFrame:
-    """Each pool user's number of rows and the sha256 of its items in order."""
-    pool = v.pop_pool("test")
-    return pool.groupBy("user_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"].cast("string")), ","), 256).alias("digest"))
+    """The digest that freezing the pool writes beside it, and the rows it covers."""
+    at = _own(v, "pool")
+    digest = pools.freeze(v.pop_pool("test"), at)
+    rows, again = pools.load_frozen(v.spark, at)
+    return rows.agg(F.lit(digest).alias("digest"), F.lit(again).alias("digest_read"), F.count("*").alias("rows"))
 
 
 @query
@@ -508,7 +518,7 @@ def latest_run(v: View) -> DataFrame:
 @query
 def preparation_report(v: View) -> DataFrame:
     fields = {"title": F.col("title"), "store": F.col("store"), "categories": F.array_join("categories", "; ")}
-    items = v.items().where("item_id % 9 > 0").select("item_id", text.cut(text.render_item(fields), 9).getField("truncated").alias("truncated"))
+    items = v.items().select("item_id", text.cut(text.render_item(fields), 9).getField("truncated").alias("truncated"))
     named = v.items().select("item_id", "title", text.item_attrs(F.col("categories"), F.col("store")).alias("attrs"))
     profiles = text.build_profiles(timeline.history(v.ratings(), v.cohort("test")), named, 60)
     return report.preparation(items, profiles, v.cohort("test"), v.ratings())
@@ -543,7 +553,10 @@ def markdown_rows(v: View) -> DataFrame:
 
 @query
 def robustness_rule(v: View) -> DataFrame:
-    """Do the differences of P@10 and NDCG@10 have one sign?"""
-    board = QUERIES["leaderboard"](v.spark, v.dir)
-    other = board.select("model", (F.col("precision_10") - F.lit(0.5)).alias("diff_vs_l1"))
-    return report.robustness(board.where("diff_vs_l1 is not null"), other)
+    """Do the differences of NDCG@10 have one sign whether positives are liked items or top-rated ones?"""
+    models = ("l1_order", "popularity", "random", "flaky")
+    diffs = lambda pos: report.differences(scorers.evaluate(v.runs(*models), pos), "ndcg@10").groupBy("model").agg(F.avg("diff").alias("diff_vs_l1"))
+    top = timeline.positives(v.ratings(), "test", 5)
+    reached = metrics.eval_cohort(v.pop_pool("test"), top)
+    rounded = lambda df: df.withColumn("diff_vs_l1", F.round("diff_vs_l1", 9))
+    return report.robustness(rounded(diffs(v.eval_positives("test"))), rounded(diffs(top.join(reached, "user_id", "left_semi"))))

@@ -41,11 +41,11 @@ def load_examples(spark: SparkSession, path: str, locale: str = "us") -> DataFra
 
 
 def load_products(spark: SparkSession, path: str, locale: str, ids: DataFrame | None = None) -> DataFrame:
-    """Products of one locale, of the given ids only if there are any; the first by content of an id."""
-    rows = spark.read.schema(schemas.PRODUCTS).parquet(path).where(F.col("product_locale") == locale)
+    """Products of one locale, of the given ids only if there are any; of an id the first row in order of files and their rows."""
+    rows = spark.read.schema(schemas.PRODUCTS).parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).where(F.col("product_locale") == locale)
     if ids is not None:
         rows = rows.join(ids.select("product_id").distinct(), "product_id", "left_semi")
-    return keep_first(rows, ["product_id"], [c for c in rows.columns if c != "product_id"])
+    return keep_first(rows, ["product_id"], ["_file", "_row"]).drop("_file", "_row")
 
 
 def load_split(spark: SparkSession, processed: str, split: str) -> tuple[DataFrame, DataFrame]:

@@ -30,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that drop_stored() deletes with what stands there."""
+    path = f"{shared_dir(spark)}/rankloom/{uuid.uuid4().hex}"
+    _stored.append((spark, path))
+    return f"{path}/{name}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
 

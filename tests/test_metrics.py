@@ -101,20 +101,18 @@ def test_bootstrap_of_full_size_equals_brute_force(spark):
     assert len(got) == 10_000 and all(r.mean == pytest.approx(want[r.b], abs=1e-9) for r in got)
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the provided tables")
-def test_full_queries_take_every_resample(spark):
-    got = plans.QUERIES["paired_bootstrap_full"](spark, "/root/testdata/sf0.001").collect()
-    assert sorted(r.b for r in got) == list(range(10_000))
-    rows = plans.QUERIES["holm_table_full"](spark, "/root/testdata/sf0.001").collect()
-    grid = [r.p * 10_001 / 2 for r in rows if r.p < 1]
-    assert grid and all(abs(x - round(x)) < 0.01 for x in grid) and any(abs(r.p * 201 / 2 - round(r.p * 201 / 2)) > 0.002 for r in rows)
+def test_both_ways_of_the_bootstrap_agree(spark, monkeypatch):
+    diffs = spark.createDataFrame([(m, u, (u * 7 % 5 - 2) / 3 + k) for k, m in enumerate("mn") for u in range(40)], "model string, user_id long, diff double")
+    rows = lambda: sorted(map(tuple, stats.paired_bootstrap(diffs, 300).collect()))
+    broadcast = rows()
+    monkeypatch.setattr(stats, "BROADCAST_ROWS", 0)
+    assert rows() == broadcast and len(broadcast) == 600
 
 
-def test_numpy_bootstrap():
-    mean, boot = stats.numpy_bootstrap([1.0, 2.0], [0.0, 0.0], 50)
-    assert mean == 1.5 and boot.shape == (50,)
-    with pytest.raises(ValueError):
-        stats.numpy_bootstrap([1.0], [0.0, 1.0])
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the provided tables")
+def test_queries_take_every_resample(spark):
+    got = plans.QUERIES["paired_bootstrap"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.b for r in got) == list(range(10_000))
 
 
 def test_quantiles_are_linear(spark):

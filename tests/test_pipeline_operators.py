@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rankloom import schemas
 from rankloom.functions import hashing, text
 from rankloom.operators import channels, pools, report, scorers, timeline, vectors
-from rankloom.sources import readers
+from rankloom.sources import readers, sinks
 from rankloom.storage import drop_stored, stored
 
 Q = dt.datetime(2001, 1, 1)
@@ -89,11 +89,45 @@ def test_cooccurrence(spark):
     sim = {(x.i, x.j): x.sim for x in channels.cooccurrence(r, c).collect()}
     assert set(sim) == {("a", "b"), ("b", "a")}  # c comes after the query time
     assert sim["a", "b"] == pytest.approx(1 / math.sqrt(3), abs=1e-6)
-    got = channels.cooccurrence_scores(channels.cooccurrence(r, c), r, c, 10).collect()
+    weights = channels.liked_weights(r, c, 10)
+    got = channels.cooccurrence_scores(channels.cooccurrence(r, c, weights), weights).collect()
     assert [(x.user_id, x.item_id) for x in got] == [("u", "b")]
     assert got[0].score == pytest.approx(0.5**0.5 / math.sqrt(3), abs=1e-6)
 
 
+def test_cooccurrence_of_a_user_of_many_items(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [("hub", f"i{k}", 5, day(-3)) for k in range(60)] + [(f"u{k}", f"i{rnd.randrange(80)}", 5, day(-2)) for k in range(150)]
+    r, c = log(spark, rows), cohort(spark, "hub")
+    found = lambda *w: sorted((x.i, x.j, round(x.sim, 9)) for x in channels.cooccurrence(r, c, *w).collect())
+    whole = found()
+    monkeypatch.setattr(channels, "PAIR_BLOCK", 7)
+    assert found() == whole and len(whole) >= 60 * 59
+    some = spark.createDataFrame([(Q, "i3"), (Q, "i70")], "query_time timestamp_ntz, i string")
+    assert found(some) == [x for x in whole if x[0] in ("i3", "i70")]
+
+
+def test_shared_top_lists_at_many_query_times(spark, monkeypatch):
+    rnd = random.Random(4)
+    events = [(f"u{rnd.randrange(12)}", f"i{rnd.randrange(30):02}", rnd.randint(1, 5), day(-rnd.randrange(200) - 0.5)) for _ in range(160)]
+    users = [(f"u{k}", day(-rnd.randrange(3) * 20)) for k in range(12)]
+    r, c = log(spark, events), spark.createDataFrame(users, "user_id string, query_time timestamp_ntz")
+    first, seen = timeline.first_seen(r), timeline.seen_pairs(r, c)
+    want = []
+    born = {i: min(t for _, j, _, t in events if j == i) for _, i, _, _ in events}
+    for u, q in users:
+        own = {i for v, i, _, t in events if v == u and t < q}
+        count = {i: sum(j == i and q - dt.timedelta(days=90) <= t < q for _, j, _, t in events) for i in born}
+        best = sorted((i for i in born if born[i] < q and i not in own), key=lambda i: (-count[i], i))[:9]
+        want += [(u, k, i, float(count[i])) for k, i in enumerate(best)]
+    for most in (channels.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(channels, "BROADCAST_ROWS", most)
+        got = channels.topm_shared(channels.popularity(r, c), c, first, seen, 9).collect()
+        assert sorted((x.user_id, x.rank, x.item_id, x.l1_score) for x in got) == sorted(want)
+    late = {x.query_time: x.n_late for x in vectors.count_from(first, c.select("query_time").distinct()).collect()}
+    assert late == {q: sum(t >= q for t in born.values()) for _, q in users}
+
+
 def test_cohort_counts_rows_and_respects_edges(spark):
     q = dt.datetime(2001, 1, 1)
     rows = [("u", f"i{k}", 1, q - dt.timedelta(days=k)) for k in (1, 2, 3)] + [("u", "p", 4, q), ("u", "p", 5, q), ("v", "x", 5, q), ("w", "a", 1, q - dt.timedelta(days=1)), ("w", "b", 5, q)]
@@ -137,11 +171,18 @@ def test_blocked_topk_equals_brute_force(spark):
     assert vectors.exact_topk(q, i.limit(5), 9).count() == 7 * 5
 
 
-def test_lsh_and_the_gate(spark):
+def test_codes_and_the_gate(spark):
     a, b = unit(20, 16, 2), unit(1500, 16, 3)
     q, i = vec_frame(spark, "query_id", a), vec_frame(spark, "item_id", b)
     exact = vectors.exact_topk(q, i, 10)
-    near = vectors.lsh_topk(q, i, 10, 16)
+    near = vectors.code_topk(q, i, 10, 16).cache()
+    assert near.count() == 20 * 40
+    planes = vectors.code_planes(512, 16)
+    bits = lambda x: np.round(x @ planes.T, 9) >= 0
+    far = (bits(a)[:, None, :] != bits(b)[None, :, :]).sum(axis=2)
+    for k in range(20):
+        want = sorted(range(1500), key=lambda j: (far[k, j], j))[:40]
+        assert sorted(r.item_id for r in near.where(F.col("query_id") == k).collect()) == sorted(want)
     overlap = vectors.overlap_at_k(exact, near, 10).first().overlap
     vectors.ann_gate(overlap)
     with pytest.raises(ValueError):
@@ -210,7 +251,7 @@ def pool3(spark):
 def test_scorer_contract(spark):
     ok = scorers.apply_scorer(pool3(spark), lambda u, c: [float(len(c) - x["rank"]) for x in c], []).orderBy("l1_rank").collect()
     assert [r.score for r in ok] == [3.0, 2.0, 1.0]
-    for bad in (lambda u, c: [1.0], lambda u, c: [float("inf")] * 3, lambda u, c: ["x"] * 3):
+    for bad in (lambda u, c: [float("nan"), 1.0, 1.0], lambda u, c: [1.0], lambda u, c: [float("inf")] * 3, lambda u, c: ["x"] * 3):
         with pytest.raises(Exception, match="ContractError|scores"):
             scorers.apply_scorer(pool3(spark), bad, []).collect()
 
@@ -226,6 +267,75 @@ def test_decision_scorer_fails_by_chunk():
     assert [math.isnan(x) for x in got] == [True, True, False, False, False]
 
 
+def test_decision_scorer_tells_what_happened():
+    tried = []
+
+    def backend(user, chunk):
+        tried.append(chunk[0]["item_id"])
+        if chunk[0]["item_id"] == "i0" and tried.count("i0") < 3:
+            raise scorers.RetryableError("busy")
+        if chunk[0]["item_id"] == "i4":
+            raise KeyError("lost")
+        return [0.5] * len(chunk), "v1"
+
+    given = [{"item_id": f"i{k}"} for k in range(5)]
+    got = scorers.decision_scorer(backend, questions=2, concurrency=1, base=1, sleep=lambda s: None, rng=random.Random(0))({"user_id": "u"}, given)
+    assert (got.failures, got.retries, got.versions, got.errors) == (1, 2, ["v1"], {"KeyError: 'lost'": 1}) and got.waited > 0
+    asked = []
+    scorers.decision_scorer(lambda u, c: asked.extend(x["item_id"] for x in c) or [1.0] * len(c), concurrency=1, shuffle_seed=3)({}, given)
+    order = list(range(5))
+    random.Random(3).shuffle(order)
+    assert asked == [f"i{k}" for k in order]
+
+
+def test_answers_keep_the_contract():
+    nan = float("nan")
+    assert list(scorers.checked([1.0, 2.0], 2)) == [1.0, 2.0]
+    assert scorers.checked(scorers.Answer([nan, 1.0], failures=1), 2).failures == 1
+    for bad, n in (([], 0), ([nan], 1), (scorers.Answer([nan, nan], failures=1), 2), ([1], 1)):
+        with pytest.raises(scorers.ContractError):
+            scorers.checked(bad, n)
+
+
+def test_backends_and_models():
+    with pytest.raises(NotImplementedError):
+        scorers.make_backend("nowhere")({}, [{}])
+    sent = []
+    ask = scorers.http_backend(lambda r: (sent.append(r), (200, json.dumps({"result": {"model": "m-1", "answers": {"q0": {"noul": 0.2}, "q1": {"probability": 0.9}}, "usage": {"input_tokens": 7}}})))[1], lambda u, c: "state", "m-1")
+    assert ask({}, [{"item_id": 1}, {"item_id": 2}]) == ([0.2, 0.9], "m-1") and ask.tokens == 7 and "candidate 2" in sent[0]["questions"]["q1"]
+    busy = scorers.http_backend(lambda r: (529, ""), lambda u, c: "", "m-1")
+    with pytest.raises(scorers.RetryableError):
+        busy({}, [{"item_id": 1}])
+    assert scorers.with_overrides({"a": 1, "b": "x"}, ["a=2", "b=y z"]) == {"a": 2, "b": "y z"}
+    with pytest.raises(ValueError):
+        scorers.with_overrides({"a": 1}, ["c=2"])
+    with pytest.raises(ValueError):
+        scorers.build("nothing")
+
+
+def test_run_scorer_with_another_metric(spark):
+    pool = pool3(spark)
+    pos = spark.createDataFrame([("u", "i2")], "user_id string, item_id string")
+    _, per, totals = scorers.run_scorer(pool, lambda u, c: [0.5, 0.1, 0.9], [], pos, lambda s, p: s.groupBy("user_id").agg(F.max("score").alias("top")))
+    assert [(r.user_id, r.top, r.failures) for r in per.collect()] == [("u", 0.9, 0)] and totals.first().users == 1
+    ranked = scorers.build("pairwise", predict=lambda pairs: [float(len(b)) for _, b in pairs], profile="item_id", text="item_id", squash=False, columns=[])(pool)
+    assert {r.score for r in ranked.collect()} == {2.0}
+
+
+def test_half_precision_equals_numpy(spark):
+    values = [0.0, 1.0, -2.5, 0.1, 1 / 3, 65504.0, 1e-5, 6e-8, -1234.567, 2049.0]
+    got = spark.createDataFrame([(values,)], "v array<double>").select(sinks.half(F.col("v")).alias("h")).first().h
+    assert got == [float(np.float16(x)) for x in values]
+
+
+def test_every_entity_is_decoded_once(spark):
+    import html
+
+    given = ["&eacute;&Eacute; &#233;&#xE9;&#x1F600; &amp;amp; &nope; & &lt;i&gt; a&b; &NotEqualTilde; &nbsp;x", "none", "&", "&;", "&#99999999;", "&#xD800;"]
+    got = [r.x for r in spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k int, t string").orderBy("k").select(text.clean_html(F.col("t")).alias("x")).collect()]
+    assert got == [" ".join(html.unescape(given[0]).split()), *given[1:]]  # what is no character stays
+
+
 def test_retries():
     calls, waits = [], []
 
