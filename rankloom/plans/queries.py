@@ -25,12 +25,20 @@ def query(f: Callable[["View"], DataFrame]) -> Callable[["View"], DataFrame]:
     """Register a query; doubles of its result are rounded, small integers widened."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tidy(f(View(spark, sf_dir)))
+        return on_view(f.__name__, View(spark, sf_dir))
 
-    QUERIES[f.__name__] = run
+    QUERIES[f.__name__], _BUILT[f.__name__] = run, f
     return f
 
 
+_BUILT: dict[str, Callable[["View"], DataFrame]] = {}
+
+
+def on_view(name: str, view: "View") -> DataFrame:
+    """The query over a view that other queries may have built tables of."""
+    return tidy(_BUILT[name](view))
+
+
 def tidy(df: DataFrame) -> DataFrame:
     out = []
     for name, kind in df.dtypes:
@@ -547,7 +555,7 @@ def error_histogram(v: View) -> DataFrame:
 @query
 def markdown_rows(v: View) -> DataFrame:
     """The graded leaderboard's means as Markdown cells."""
-    board = QUERIES["leaderboard_graded"](v.spark, v.dir)
+    board = on_view("leaderboard_graded", v)
     return board.select("model", text.plain(F.col("p_10")).alias("p_10"), text.signed(F.col("diff_vs_l1")).alias("diff"))
 
 
