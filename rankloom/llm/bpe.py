@@ -6,21 +6,23 @@ import json
 import os
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import blocks, mix, powers, runs, span_hashes, stored
+from .common import blocks, mix, powers, runs, skew_join, span_hashes, stored
 
 #: Bytes of the rolling window; a chunk ends on average after 2**CHUNK_BITS bytes and never before MIN_CHUNK.
 WINDOW, CHUNK_BITS, MIN_CHUNK = 32, 9, 64
-#: Bytes of chunk text that the dictionary of shared chunks holds at most (it is broadcast), and pieces of words that a task remembers twice over.
-DICTIONARY_BYTES, MEMO_PIECES = 8 << 20, 150_000
+#: Bits of the broadcast filter of shared chunks' keys (16 MB at any size of the corpus), and pieces of words that a task remembers twice over.
+FILTER_BITS, MEMO_PIECES = 1 << 27, 150_000
 #: Bytes of text that are encoded at a time.
 BLOCK_BYTES = 1 << 20
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
@@ -122,7 +124,8 @@ class Codec:
         self.memo: dict = {}
         self.older: dict = {}
 
-    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
+    def entry(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """Ids as int32 bytes, and their decoded text with a space after it."""
         return array("i", ids).tobytes(), "".join([self.names[i] + " " for i in ids]).encode()
 
     def entries(self, pieces: list) -> list[tuple[bytes, bytes]]:
@@ -142,7 +145,7 @@ class Codec:
             whole = [p for p in part if isinstance(p, tuple)]
             plain = [p for p in part if not isinstance(p, tuple)]
             for p, e in zip(whole, self.tokenizer.encode_batch_fast([p[0].decode("utf-8", "replace") for p in whole], add_special_tokens=False), strict=True):
-                memo[p] = self._entry(e.ids)
+                memo[p] = self.entry(e.ids)
             # Plain pieces are one text, told apart by the tokens that end a pre-token; each alone if these don't tell.
             texts = [p.decode() for p in plain]
             ids = self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids if texts else []
@@ -152,7 +155,7 @@ class Codec:
             else:
                 lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             for p, own in zip(plain, lists, strict=True):
-                memo[p] = self._entry(own)
+                memo[p] = self.entry(own)
         return [memo[p] for p in pieces]
 
 
@@ -274,63 +277,79 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, codec: Codec, known: dic
 
 
 def chunk_census(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, size, n) of the chunks that occur at least twice in docs, counted over all whole texts."""
+    """(key, n) of the chunks that occur at least twice in docs, counted over all whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in blocks(batch.column(0)):
-                held: dict[bytes, list[int]] = {}
-                for chunks in _rows(data, offsets):
-                    for c in chunks:
-                        held.setdefault(chunk_key(c), [len(c), 0])[1] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], names=["key", "size", "n"])
+                held = Counter(chunk_key(c) for chunks in _rows(data, offsets) for c in chunks)
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["key", "n"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "key binary, size long, n long").groupBy("key", "size").agg(F.sum("n").alias("n")).where("n > 1")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def shared_chunks(docs: DataFrame, tokenizer_path: str, text_col: str = "text", most_bytes: int = DICTIONARY_BYTES) -> dict[bytes, tuple[int, int, bytes, bytes]]:
-    """The dictionary: shared chunks, each encoded once, by key: (start and end of the middle, ids as int32 bytes, decoded text with a space after it).
+def key_filter(census: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit set for every key of the census, as 64-bit words; bits is a power of two of at least 64.
 
-    Of the chunks that occur more than once those that save most encoding are taken, up to most_bytes of
-    text in all; the bound makes it fit for the driver and a broadcast at any size of the corpus.
+    Its size does not grow with the corpus. A key that is not in the census may find its bit set: such a
+    chunk is looked up like a shared one, to the same ids, and costs an exchange that it did not need.
+    """
+    slot = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit(bits - 1))
+    slots = census.select(slot.alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def marked_chunks(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """A block's chunks whose keys have their bit set in marks: row, key and text of each, in order."""
+    if not len(data):
+        return []
+    raw, cuts = data.tobytes(), cut_points(data, offsets)
+    cuts = cuts[cuts > 0]
+    starts = np.concatenate([[0], cuts[:-1]])
+    keys = [chunk_key(raw[a:b]) for a, b in zip(starts.tolist(), cuts.tolist(), strict=True)]
+    slot = np.frombuffer(b"".join(keys), ">u4")[::4].astype(np.int64) & (len(marks) * 64 - 1)
+    hit = np.flatnonzero((marks[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+    row = np.searchsorted(offsets, starts[hit], "right") - 1
+    return [(r, keys[k], raw[starts[k] : cuts[k]]) for r, k in zip(row.tolist(), hit.tolist(), strict=True)]
+
+
+def marked_rows(column: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """Whether each text of a column has a marked chunk."""
+    out = np.zeros(len(column), bool)
+    for at, data, offsets in blocks(column):
+        out[[at + r for r, _, _ in marked_chunks(data, offsets, marks)]] = True
+    return out
+
+
+def encoded_chunks(docs: DataFrame, tokenizer_path: str, marks: Broadcast, text_col: str = "text") -> DataFrame:
+    """Every marked chunk, encoded once: (key, n, head, tail, ids), from head to tail of the chunk as int32 bytes.
+
+    n counts the chunk's occurrences. Chunks without two white spaces around a word have no row.
     """
-    most = max(1, most_bytes >> CHUNK_BITS)
-    census = stored(chunk_census(docs, text_col))
-    best = census.orderBy(F.desc(F.expr("size * (n - 1)")), "key").limit(most).collect()
-    wanted, room = set(), most_bytes
-    for r in best:
-        if r["size"] <= room:
-            room -= r["size"]
-            wanted.add(bytes(r["key"]))
-    if not wanted:
-        return {}
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(wanted))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = set(shared.value)
         for batch in batches:
             for _, data, offsets in blocks(batch.column(0)):
-                found = {}
-                for chunks in _rows(data, offsets):
-                    for c in chunks:
-                        if (k := chunk_key(c)) in left:
-                            left.discard(k)
-                            found[k] = c
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["key", "chunk"])
+                found: dict[bytes, list] = {}
+                for _, key, chunk in marked_chunks(data, offsets, marks.value):
+                    found.setdefault(key, [chunk, 0])[1] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([v[0] for v in found.values()], pa.binary()), pa.array([v[1] for v in found.values()], pa.int64())], names=["key", "chunk", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_at(tokenizer_path)
         for batch in batches:
-            rows = [(key, *edge, chunk[edge[0] : edge[1]]) for key, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (edge := sides(chunk)) is not None]
-            middles = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8)
-            ids, id_at, decoded, text_at = encode_block(middles, np.cumsum([0, *[len(r[3]) for r in rows]]), codec, {})
-            made = [(*r[:3], ids[id_at[k] : id_at[k + 1]].tobytes(), decoded[text_at[k] : text_at[k + 1]].tobytes() + b" ") for k, r in enumerate(rows)]
+            rows = [(key, n, *edge, chunk[edge[0] : edge[1]]) for key, chunk, n in zip(*[c.to_pylist() for c in batch.columns], strict=True) if (edge := sides(chunk)) is not None and edge[0] < edge[1]]
+            ids, id_at, _, _ = encode_block(np.frombuffer(b"".join([r[4] for r in rows]), np.uint8), np.cumsum([0, *[len(r[4]) for r in rows]]), codec, {})
+            made = [(*r[:4], ids[id_at[k] : id_at[k + 1]].tobytes()) for k, r in enumerate(rows) if id_at[k + 1] > id_at[k]]
             columns = zip(*made, strict=True) if made else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "head", "tail", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "n", "head", "tail", "ids"])
 
-    texts = docs.select(F.col(text_col).cast("string")).mapInArrow(fetch, "key binary, chunk binary").groupBy("key").agg(F.first("chunk").alias("chunk"))
-    found = texts.mapInArrow(encode, "key binary, head int, tail int, ids binary, decoded binary").collect()
-    return {bytes(r["key"]): (r["head"], r["tail"], bytes(r["ids"]), bytes(r["decoded"])) for r in found if len(r["ids"])}
+    texts = docs.select(F.col(text_col).cast("string")).mapInArrow(fetch, "key binary, chunk binary, n long")
+    once = texts.groupBy("key").agg(F.first("chunk").alias("chunk"), F.sum("n").alias("n"))
+    return once.mapInArrow(encode, "key binary, n long, head int, tail int, ids binary")
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], codec: Codec, known: dict[bytes, tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +362,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], codec: Codec, known: dict[
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(id_at, pa.int32()), pa.array(ids)), texts], names=["doc_id", "ids", "decoded"])
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, ids, decoded) for every row of docs: token ids of the whole text, and the text decoded from them.
 
     The same ids as the tokenizers library gives without added special tokens, truncation and padding
@@ -351,18 +370,52 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     skipping special tokens. Null text is empty; empty text has no ids. Repeated rows stay repeated; other
     columns are ignored; an empty table gives none.
 
-    Method: a rolling hash cuts texts into content-defined chunks. Chunks that occur more than once are
-    encoded once, as far as the dictionary's bound (most_bytes) reaches, and reused in every document;
-    other chunks are encoded where they stand. Joins are repaired so that they agree exactly (encode_block).
-    Text is never shuffled: three scans, counts of chunk keys, and a dictionary of bounded size.
+    Method: a rolling hash cuts texts into content-defined chunks. Every chunk that occurs more than once is
+    encoded once, in a table by its key, and joined to the documents that hold it; what no chunk covers is
+    encoded where it stands. Joins of chunks are repaired so that they agree exactly (encode_block).
+    Texts with a marked chunk (see key_filter) meet their chunks' ids in one exchange; all others stay where
+    they are. docs is scanned five times and must give the same rows each time.
     """
-    known = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, tokenizer_path, text_col, most_bytes))
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    marks = spark.sparkContext.broadcast(key_filter(chunk_census(rows), filter_bits))
+    shared = stored(encoded_chunks(rows, tokenizer_path, marks))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    # Rows of one key may be several: their chunks are told apart by the chunks' own keys.
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~marked_rows(batch.column(1), marks.value)))
+            yield from encode_batches([rest], codec_at(tokenizer_path), {})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return encode_batches(batches, codec_at(tokenizer_path), known.value)
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked_rows(batch.column(2), marks.value)))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in blocks(batch.column(1)):
+                pairs = list(dict.fromkeys((at + r, key) for r, key, _ in marked_chunks(data, offsets, marks.value)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([p[0] for p in pairs], pa.int64())), pa.array([p[1] for p in pairs], pa.binary())], names=["row", "key"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_at(tokenizer_path)
+        for batch in batches:
+            known = {}
+            for key, head, tail, ids in zip(*[c.to_pylist() for c in batch.column(2).flatten().flatten()], strict=True):
+                if key not in known:
+                    known[key] = (head, tail, *codec.entry(np.frombuffer(ids, np.int32).tolist()))
+            yield from encode_batches([batch], codec, known)
+
+    made = f"doc_id {kind}, ids array<int>, decoded string"
+    held = keyed.select("row", "text").mapInArrow(occurrences, "row long, key binary").distinct()
+    parts = skew_join(held, shared, "key", "n", total).groupBy("row").agg(F.collect_list(F.struct("key", "head", "tail", "ids")).alias("known"))
+    texts = keyed.mapInArrow(holders, f"row long, doc_id {kind}, text string")
+    met = texts.join(parts, "row", "left").select("doc_id", "text", "known").mapInArrow(joined, made)
+    return rows.mapInArrow(alone, made).unionByName(met)
 
 
 def op5_digest(encoded: DataFrame) -> DataFrame:

@@ -75,15 +75,44 @@ def test_documents(spark, tok):
     rows = [*cases.ROWS, *[(100 + k, f"{say(random.Random(k), 40)} {passage} {k}", "en", "a", 1) for k in range(12)]]
     docs = cases.docs(spark, rows)
     want = sorted(((r[0], *expected(tok, r[1])) for r in rows), key=str)
-    assert bpe.shared_chunks(docs, tokenizer_path())
-    for most in (bpe.DICTIONARY_BYTES, 2000, 0):  # whatever the dictionary's bound
-        assert rows_of(bpe.encode_documents(docs, tokenizer_path(), most_bytes=most)) == want
+    assert bpe.chunk_census(docs).count()
+    for bits in (bpe.FILTER_BITS, 256, 64):  # however full the filter
+        assert rows_of(bpe.encode_documents(docs, tokenizer_path(), filter_bits=bits)) == want
     digests = {r.doc_id: r for r in bpe.op5_digest(bpe.encode_documents(docs, tokenizer_path())).collect()}
     for i, ids, text in want:
         d = digests[i]
         assert (d.n_tokens, d.ids_sha256, d.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_every_shared_chunk_is_encoded_once(spark, tok):
+    words = random.Random(3)
+    passages = [" ".join(f"w{words.randint(0, 9999)}" for _ in range(800)) for _ in range(5)]
+    rows = [(k, f"start {k} {passages[k % 5]} {k} end {passages[(k + 1) % 5]}", "en", "a", 1) for k in range(40)]
+    rows += [(1000, passages[0], "en", "a", 1)] * 300  # one row a great many times
+    docs = cases.docs(spark, rows).repartition(7)
+    census = {bytes(r.key): r.n for r in bpe.chunk_census(docs).collect()}
+    chunks = bpe.Counter(bpe.chunk_key(c) for r in rows for c in next(bpe._rows(np.frombuffer(r[1].encode(), np.uint8), np.array([0, len(r[1].encode())]))))
+    assert census == {k: n for k, n in chunks.items() if n > 1}
+    marks = spark.sparkContext.broadcast(bpe.key_filter(bpe.chunk_census(docs)))
+    made = bpe.encoded_chunks(docs, tokenizer_path(), marks).collect()
+    assert len({bytes(r.key) for r in made}) == len(made)
+    assert {bytes(r.key): r.n for r in made} == census  # all have white space here
+    assert sum(census.values()) > 5 * len(census) > 100
+    want = sorted(((r[0], *expected(tok, r[1])) for r in rows), key=str)
+    assert rows_of(bpe.encode_documents(docs, tokenizer_path())) == want
+
+
+def test_known_chunks_are_used(tok):
+    text = " ".join(f"w{k}" for k in range(900)).encode()
+    data, at, codec = np.frombuffer(text, np.uint8), np.array([0, len(text)]), bpe.Codec(tokenizer_path())
+    chunk = max(next(bpe._rows(data, at)), key=len)
+    head, tail = bpe.sides(chunk)
+    ids, _, _, _ = bpe.encode_block(data, at, codec, {bpe.chunk_key(chunk): (head, tail, *codec.entry([7]))})
+    whole = tok.encode(text.decode(), add_special_tokens=False).ids
+    middle = tok.encode(chunk[head:tail].decode(), add_special_tokens=False).ids
+    assert len(ids) == len(whole) - len(middle) + 1 and 7 in ids
+
+
 def test_empty(spark):
     assert bpe.encode_documents(cases.docs(spark, []), tokenizer_path()).collect() == []
 
