@@ -23,8 +23,8 @@ from .common import blocks, mix, powers, runs, skew_join, span_hashes, stored
 WINDOW, CHUNK_BITS, MIN_CHUNK = 32, 9, 64
 #: Bits of the broadcast filter of shared chunks' keys (16 MB at any size of the corpus), and pieces of words that a task remembers twice over.
 FILTER_BITS, MEMO_PIECES = 1 << 27, 150_000
-#: Bytes of text that are encoded at a time.
-BLOCK_BYTES = 1 << 20
+#: Bytes of text that are encoded at a time, and rows whose shared chunks are held at a time.
+BLOCK_BYTES, SLICE_ROWS = 1 << 20, 1024
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Classes of bytes: white space, letters, digits, other signs, and those whose words go to the tokenizer whole
 #: (controls, apostrophes for their contractions, and bytes beyond ASCII but for Latin-1's letters).
@@ -352,6 +352,13 @@ def encoded_chunks(docs: DataFrame, tokenizer_path: str, marks: Broadcast, text_
     return once.mapInArrow(encode, "key binary, n long, head int, tail int, ids binary")
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of SLICE_ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def encode_batches(batches: Iterator[pa.RecordBatch], codec: Codec, known: dict[bytes, tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
     """(doc_id, ids, decoded) of batches of (doc_id, text), a block of texts at a time."""
     for batch in batches:
@@ -387,12 +394,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     keyed = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rest = batch.filter(pa.array(~marked_rows(batch.column(1), marks.value)))
             yield from encode_batches([rest], codec_at(tokenizer_path), {})
 
     def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(marked_rows(batch.column(2), marks.value)))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +410,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_at(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             known = {}
             for key, head, tail, ids in zip(*[c.to_pylist() for c in batch.column(2).flatten().flatten()], strict=True):
                 if key not in known:
