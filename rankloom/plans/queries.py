@@ -13,7 +13,7 @@ from ..functions import hashing, text
 from ..operators import channels, fusion, metrics, pools, report, scorers, stats, timeline, vectors
 from ..sources import views
 from ..sources.readers import keep_first
-from ..storage import own_path, stored
+from ..storage import own_path, stored, stored_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 M, DIMS = schemas.EVAL_M, 64
@@ -54,12 +54,17 @@ class View:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        for name in ("ratings", "items", "item_vectors", "vectors", "search_queries", "qrels"):
+        for name in ("items", "item_vectors", "vectors", "search_queries", "qrels"):
             setattr(self, name, cache(lambda f=getattr(views, name): f(spark, sf_dir)))
 
     def table(self, name: str) -> DataFrame:
         return views.table(self.spark, self.dir, name)
 
+    @cache
+    def ratings(self) -> DataFrame:
+        """The log, joined once: cohorts, availability, histories and counts all read it."""
+        return stored(views.ratings(self.spark, self.dir))
+
     @cache
     def cohort(self, split: str) -> DataFrame:
         return timeline.select_cohort(self.ratings(), split)
@@ -82,14 +87,14 @@ class View:
 
     @cache
     def pop_pool(self, split: str, m: int = M) -> DataFrame:
-        return stored(channels.topm_shared(self.counts(split), self.cohort(split), self.first(), self.seen(split), m))
+        return stored_rows(channels.topm_shared(self.counts(split), self.cohort(split), self.first(), self.seen(split), m))
 
     @cache
     def cooc_pool(self, split: str, m: int = M) -> DataFrame:
-        weights = stored(channels.liked_weights(self.ratings(), self.cohort(split)))
+        weights = stored_rows(channels.liked_weights(self.ratings(), self.cohort(split)))
         sim = channels.cooccurrence(self.ratings(), self.cohort(split), weights)
         scores = channels.cooccurrence_scores(sim, weights).withColumn("score", F.round("score", 9))
-        return stored(channels.topm_from_scores(scores, self.cohort(split), self.first(), self.seen(split), m))
+        return stored_rows(channels.topm_from_scores(scores, self.cohort(split), self.first(), self.seen(split), m))
 
     @cache
     def users(self, split: str, half_lives: float | tuple[float, ...] = schemas.HALF_LIFE_DAYS) -> DataFrame:
@@ -97,14 +102,14 @@ class View:
 
     @cache
     def dense_pool(self, split: str, m: int = M) -> DataFrame:
-        return stored(vectors.dense_topm(self.users(split), self.item_vectors(), self.first(), self.seen(split), m))
+        return stored_rows(vectors.dense_topm(self.users(split), self.item_vectors(), self.first(), self.seen(split), m))
 
     def channel(self, name: str, split: str) -> DataFrame:
         return {"dense": self.dense_pool, "pop": self.pop_pool, "cooc": self.cooc_pool}[name](split)
 
     @cache
     def merged(self, split: str, names: tuple[str, ...] = ("dense", "pop")) -> DataFrame:
-        return stored(channels.interleave({n: self.channel(n, split) for n in names}, M))
+        return stored_rows(channels.interleave({n: self.channel(n, split) for n in names}, M))
 
     @cache
     def run(self, model: str, split: str = "test") -> DataFrame:
@@ -126,7 +131,7 @@ class View:
     def eval_positives(self, split: str) -> DataFrame:
         """Positives of the users whose pool holds one."""
         pos = self.positives(split)
-        return stored(pos.join(metrics.eval_cohort(self.pop_pool(split), pos), "user_id", "left_semi"))
+        return stored_rows(pos.join(metrics.eval_cohort(self.pop_pool(split), pos), "user_id", "left_semi"))
 
     @cache
     def knn(self, k: int = 100) -> DataFrame:
@@ -294,7 +299,7 @@ def positive_reachability(v: View) -> DataFrame:
 @query
 def half_life_sweep(v: View) -> DataFrame:
     users = v.users("valid", (30.0, 90.0, 180.0, 365.0))
-    pool = stored(vectors.dense_topm(users, v.item_vectors(), v.first(), v.seen("valid"), M, "half_life"))
+    pool = stored_rows(vectors.dense_topm(users, v.item_vectors(), v.first(), v.seen("valid"), M, "half_life"))
     return metrics.recall_table(pool, v.cohort("valid"), v.positives("valid"), (50, 100), "half_life")
 
 
@@ -306,7 +311,7 @@ def channel_compare(v: View) -> DataFrame:
     for name, pool in pools_.items():
         one = pool.select(F.lit(name).alias("channel"), "user_id", "item_id", "rank")
         out = one if out is None else out.unionByName(one)
-    return metrics.recall_table(stored(out), v.cohort("valid"), v.positives("valid"), (50, 100), "channel")
+    return metrics.recall_table(stored_rows(out), v.cohort("valid"), v.positives("valid"), (50, 100), "channel")
 
 
 @query
@@ -395,7 +400,7 @@ def channel_diagnostics(v: View) -> DataFrame:
 
 
 def _eval_per_user(v: View, *models: str) -> DataFrame:
-    return stored(scorers.evaluate(v.runs(*models), v.eval_positives("test")))
+    return stored_rows(scorers.evaluate(v.runs(*models), v.eval_positives("test")))
 
 
 @query

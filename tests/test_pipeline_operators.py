@@ -479,3 +479,13 @@ def test_prompts_and_status_rules(spark):
         scorers.pinned("m-latest")
     with pytest.raises(ValueError):
         scorers.decision_scorer(lambda u, c: [], questions=65)
+
+
+def test_tables_that_shrink_on_disk_are_not_broadcast(spark):
+    from rankloom.storage import stored_rows
+
+    lists = spark.range(1_000_000).select((F.col("id") % 5).alias("user_id"), F.lit(1).cast("long").alias("item_id"))  # 24 MB in memory, some KB as files
+    other = spark.range(3_000_000).select(F.col("id").alias("user_id"))
+    plan = lambda t: other.join(t, "user_id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(stored_rows(lists))
+    assert "BroadcastHashJoin" in plan(stored_rows(lists.limit(100)))  # what is small still is
