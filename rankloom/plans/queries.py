@@ -91,10 +91,7 @@ class View:
 
     @cache
     def cooc_pool(self, split: str, m: int = M) -> DataFrame:
-        weights = stored_rows(channels.liked_weights(self.ratings(), self.cohort(split)))
-        sim = channels.cooccurrence(self.ratings(), self.cohort(split), weights)
-        scores = channels.cooccurrence_scores(sim, weights).withColumn("score", F.round("score", 9))
-        return stored_rows(channels.topm_from_scores(scores, self.cohort(split), self.first(), self.seen(split), m))
+        return stored_rows(channels.cooccurrence_topm(self.ratings(), self.cohort(split), m))
 
     @cache
     def users(self, split: str, half_lives: float | tuple[float, ...] = schemas.HALF_LIFE_DAYS) -> DataFrame:

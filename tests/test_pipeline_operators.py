@@ -107,6 +107,23 @@ def test_cooccurrence_of_a_user_of_many_items(spark, monkeypatch):
     assert found(some) == [x for x in whole if x[0] in ("i3", "i70")]
 
 
+def test_cooccurrence_lists_leave_no_row_for_each_user_and_neighbour(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [("hub", f"i{k:02}", 5, day(-3)) for k in range(50)] + [(f"u{k:02}", f"i{rnd.randrange(70):02}", rnd.randint(1, 5), day(-rnd.randrange(90) - 0.5)) for k in range(40) for _ in range(rnd.randint(1, 9))]
+    r = log(spark, rows).cache()
+    c = spark.createDataFrame([("hub", Q)] + [(f"u{k:02}", day(-20 * (k % 2))) for k in range(30)], "user_id string, query_time timestamp_ntz")
+    weights = channels.liked_weights(r, c)
+    scores = channels.cooccurrence_scores(channels.cooccurrence(r, c, weights), weights).withColumn("score", F.round("score", 9))
+    want = sorted(map(tuple, channels.topm_from_scores(scores, c, timeline.first_seen(r), timeline.seen_pairs(r, c), 7).collect()))
+    assert len(want) > 100
+    # Few users a block, few entries a task (items dealt to several), few contributions at a time (hot items counted once).
+    for users, entries, step, hot in ((32768, 6_000_000, 1_000_000, 64 << 20), (5, 60, 50, 0), (9, 10**6, 90, 600)):
+        for name, value in zip(("LIST_USERS", "LIST_ENTRIES", "LIST_STEP", "HOT_BYTES"), (users, entries, step, hot), strict=True):
+            monkeypatch.setattr(channels, name, value)
+        assert sorted(map(tuple, channels.cooccurrence_topm(r, c, 7).collect())) == want
+    assert channels.cooccurrence_topm(r, c.limit(0), 7).count() == 0
+
+
 def test_shared_top_lists_at_many_query_times(spark, monkeypatch):
     rnd = random.Random(4)
     events = [(f"u{rnd.randrange(12)}", f"i{rnd.randrange(30):02}", rnd.randint(1, 5), day(-rnd.randrange(200) - 0.5)) for _ in range(160)]
