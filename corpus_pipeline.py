@@ -1,4 +1,7 @@
-"""A corpus pipeline of five stages; each one's rows are written and read again as the next one's documents."""
+"""A corpus pipeline of five stages; each one's rows are written and read again as the next one's documents.
+
+Stages share executors whose heap the earlier ones have filled, so those that send texts to Python do it in small batches.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import bpe, decontam, quality_rules, simhash, toxicity
-from rankloom.llm.common import stored
+from rankloom.llm.common import small_batches, stored
 from rankloom.llm.queries import table, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject (score below 0.5)."""
+    small_batches(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.kept(docs, model)
 
@@ -27,16 +31,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A doc_id on several texts or a null one loses nothing: every group of rows keeps exactly one.
     """
+    small_batches(spark)
     return simhash.kept(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
+    small_batches(spark)
     return decontam.kept(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document that is left."""
+    small_batches(spark)
     return bpe.op5_digest(bpe.encode_documents(docs, tokenizer_path()))
 
 

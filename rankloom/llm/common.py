@@ -7,13 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import drop_stored, shared_dir, stored  # noqa: F401
 
 #: Bytes of text that one numpy block holds; a longer single text makes a block of its own.
 BLOCK_BYTES = 2 << 20
+#: Rows of an Arrow batch of whole texts. Such a batch stands in the JVM, while it grows twice, and in Python, for each task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let the session's Arrow batches have at most so many rows (a smaller setting stays); results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
 
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (one more than rows) of a string column, not copied; null is empty."""

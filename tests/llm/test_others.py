@@ -220,3 +220,19 @@ def test_pipeline_on_awkward_documents(spark, tmp_path):
         docs = stage(spark, docs, at)
         assert docs.columns == cases.SCHEMA.names, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "near-duplicates", "decontamination", "BPE"]
+
+
+def test_pipeline_sends_texts_in_small_batches(spark):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        docs = spark.range(2500).coalesce(1).selectExpr("id as doc_id", "concat('some words of text ', id) as text")
+        assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count()
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long").collect()
+        assert max(r.n for r in sizes) <= 1000 and sum(r.n for r in sizes) == 2500
+    finally:
+        spark.conf.set(name, before)
