@@ -296,7 +296,8 @@ def positive_reachability(v: View) -> DataFrame:
 @query
 def half_life_sweep(v: View) -> DataFrame:
     users = v.users("valid", (30.0, 90.0, 180.0, 365.0))
-    pool = stored_rows(vectors.dense_topm(users, v.item_vectors(), v.first(), v.seen("valid"), M, "half_life"))
+    seen = timeline.history(v.ratings(), v.cohort("valid")).select("user_id", "item_id")
+    pool = stored_rows(vectors.dense_ranks(users, v.item_vectors(), v.first(), seen, v.positives("valid"), M, "half_life"))
     return metrics.recall_table(pool, v.cohort("valid"), v.positives("valid"), (50, 100), "half_life")
 
 

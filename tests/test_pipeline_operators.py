@@ -541,3 +541,32 @@ def test_dense_lists_score_equal_vectors_once_and_keep_ties_by_item(spark, monke
         got = vectors.dense_topm(*frames, 37)
         assert sorted((r.user_id, r["rank"], r.item_id, r.l1_score) for r in got.collect()) == want
     assert vectors._classes(frames[1])[1].count() == len(set(map(tuple, vecs)))
+
+
+def test_dense_ranks_are_the_places_in_the_dense_lists(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    at, days = dt.datetime(2020, 1, 1), dt.timedelta(days=1)
+    vecs = [[float(x) for x in rng.integers(-1, 2, 3)] for _ in range(12)]  # many ties, of different vectors too
+    items = spark.createDataFrame([(f"i{i:03}", vecs[i % 12]) for i in range(300)], "item_id string, v array<double>").cache()
+    first = spark.createDataFrame([(f"i{i:03}", at + days * (i % 9)) for i in range(290)], "item_id string, first_seen timestamp_ntz").cache()
+    users = spark.createDataFrame([(float(h), u, at + days * (4 + u % 3), [float(x) for x in rng.integers(-1, 2, 3)]) for u in range(20) for h in (1, 2)], "h double, user_id long, query_time timestamp_ntz, v array<double>").cache()
+    pairs = lambda n, users_: spark.createDataFrame(sorted({(u, f"i{i:03}") for u in range(users_) for i in rng.integers(0, 300, n)}), "user_id long, item_id string").cache()
+    seen, wanted = pairs(40, 19), pairs(60, 22)
+    lists = vectors.dense_topm(users, items, first, seen, 37, "h")
+    want = sorted(map(tuple, lists.join(wanted, ["user_id", "item_id"]).select("h", "user_id", "item_id", "rank").collect()))
+    monkeypatch.setattr(vectors, "ROWS", 8)
+    for rows, bytes_ in ((2_000_000, 32 << 20), (90, 100)):  # one block of items; several, of vectors too
+        monkeypatch.setattr(vectors, "RANK_ITEMS", rows)
+        monkeypatch.setattr(vectors, "ITEM_BYTES", bytes_)
+        got = vectors.dense_ranks(users, items, first, seen.union(seen), wanted, 37, "h").collect()
+        assert sorted(map(tuple, (r for r in got if r.item_id))) == want and len(want) > 100
+        assert {r.h for r in got if not r.item_id} == {1.0, 2.0}
+    every = users.select("user_id").distinct().crossJoin(items.select("item_id"))
+    assert not vectors.dense_ranks(users, items, first, every, wanted, 37, "h").count()  # no list at all
+
+
+def test_half_life_sweep_makes_no_lists(spark, monkeypatch):
+    from rankloom.plans.queries import QUERIES
+
+    monkeypatch.setattr(vectors, "dense_topm", None)
+    assert QUERIES["half_life_sweep"](spark, "/root/testdata/sf0.001").count() == 4
