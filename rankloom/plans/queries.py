@@ -240,8 +240,9 @@ def ann_overlap(v: View) -> DataFrame:
 def approximate_pool(v: View) -> DataFrame:
     """The dense channel by codes: users, those left short of 100 candidates, and the candidates."""
     users = v.users("test").select("user_id", "query_time", "v")
-    lists, short = vectors.approximate_topm(users, v.item_vectors(), v.first(), v.seen("test"), M, DIMS)
-    return users.agg(F.count("*").alias("users")).crossJoin(short.agg(F.count("*").alias("short"))).crossJoin(lists.agg(F.count("*").alias("candidates")))  # one row each
+    seen = timeline.history(v.ratings(), v.cohort("test")).select("user_id", "item_id")
+    n = vectors.approximate_counts(users, v.item_vectors(), v.first(), seen, M, DIMS)
+    return n.agg(F.count("*").alias("users"), F.count_if(F.col("n") < M).alias("short"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"))
 
 
 @query

@@ -570,3 +570,28 @@ def test_half_life_sweep_makes_no_lists(spark, monkeypatch):
 
     monkeypatch.setattr(vectors, "dense_topm", None)
     assert QUERIES["half_life_sweep"](spark, "/root/testdata/sf0.001").count() == 4
+
+
+def test_approximate_counts_are_the_lengths_of_the_lists(spark, monkeypatch):
+    rnd, a, b = random.Random(9), unit(90, 16, 4), unit(23, 16, 5)
+    users = spark.createDataFrame([(f"u{k:03}", day(-(k % 3)), a[k].tolist()) for k in range(90)] + [("none", day(0), None)], "user_id string, query_time timestamp_ntz, v array<double>").cache()
+    items = spark.createDataFrame([(f"i{k:03}", b[k % 23].tolist()) for k in range(300)], "item_id string, v array<double>").cache()
+    first = spark.createDataFrame([(f"i{k:03}", day(-rnd.randrange(3))) for k in range(280)], "item_id string, first_seen timestamp_ntz").cache()
+    seen = spark.createDataFrame([(f"u{k % 70:03}", f"i{rnd.randrange(300):03}") for k in range(3000)], "user_id string, item_id string").distinct().cache()
+    for bits, m in ((512, 10), (64, 25)):  # shorter codes: more vectors as far as the last one
+        monkeypatch.setattr(vectors._class_topm, "__defaults__", (bits, False))
+        lists = vectors._class_topm(users, items, first, seen, m, 16, 4 * m)
+        n = {r.user_id: r["count"] for r in lists.groupBy("user_id").count().collect()}
+        got = vectors.approximate_counts(users, items, first, seen.union(seen), m, 16).collect()
+        assert {r.user_id: r.n for r in got} == {u.user_id: n.get(u.user_id, 0) for u in users.collect()} and len(set(n.values())) > 1
+    monkeypatch.setattr(vectors._class_topm, "__defaults__", (512, False))
+    want = {r.user_id: r.n for r in vectors.approximate_counts(users, items, first, seen, 10, 16).collect()}
+    monkeypatch.setattr(vectors, "ITEM_ROWS", 0)  # item by item
+    assert {r.user_id: r.n for r in vectors.approximate_counts(users, items, first, seen.union(seen), 10, 16).collect()} == want
+
+
+def test_approximate_pool_makes_no_lists(spark, monkeypatch):
+    from rankloom.plans.queries import QUERIES
+
+    monkeypatch.setattr(vectors, "approximate_topm", None)
+    assert QUERIES["approximate_pool"](spark, "/root/testdata/sf0.001").first().candidates > 0
